@@ -20,79 +20,59 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skuforge.functions.text import UNICODE, strip, text
+from skuforge.functions.text import sql_text, squeeze, text
 
 _WORD_BITS = 60
 
 
 def token_sort(c: Column) -> Column:
-    words = F.split(strip(c), UNICODE + r"\s+")
-    return F.array_join(F.array_sort(words), " ")
+    return F.array_join(F.sort_array(F.split(squeeze(c), " ")), " ")
 
 
 def _sorted_tokens(value: str) -> str:
     return " ".join(sorted(value.split()))
 
 
-def _lcs_with_name(chars: Column, name: str) -> Column:
-    """LCS length of an array of characters with a constant name of at most 60 characters."""
+def _lcs_with_name(chars: str, name: str) -> str:
+    """SQL for the LCS length of an array of characters with a constant name of at most 60
+    characters: one 64-bit word holds a row of the usual table."""
     full = (1 << len(name)) - 1
     masks: dict[str, int] = {}
     for i, ch in enumerate(name):
         masks[ch] = masks.get(ch, 0) | (1 << i)
-    table = F.create_map(*[x for ch, m in masks.items() for x in (F.lit(ch), F.lit(m).cast("bigint"))])
-
-    def step(v: Column, ch: Column) -> Column:
-        u = v.bitwiseAND(F.coalesce(F.try_element_at(table, ch), F.lit(0).cast("bigint")))
-        return (v + u).bitwiseOR(v - u).bitwiseAND(F.lit(full).cast("bigint"))
-
-    free = F.aggregate(chars, F.lit(full).cast("bigint"), step)
-    return F.lit(len(name)) - F.bit_count(free)
-
-
-def _ratio(distance: Column, total: Column) -> Column:
-    return (F.lit(1.0) - distance / total) * 100
-
-
-def best_match(c: Column, names: Sequence[str], floor: float) -> Column:
-    """Position of the most similar name, NULL if none reaches the floor; the earliest wins ties."""
-    sorted_text = token_sort(c)
-
-    def candidates(s: Column) -> Column:
-        chars = F.split(s, "")
-        scored = []
-        for i, raw in enumerate(names):
-            name = _sorted_tokens(raw)
-            total = (F.length(s) + len(name)).cast("double")
-            reach = F.ceil(total * (1.0 - floor) + 1e-6).cast("int")
-            near = (F.abs(F.length(s) - len(name)) <= reach) & (F.levenshtein(s, F.lit(name)) <= reach)
-            if len(name) <= _WORD_BITS:
-                lcs = _lcs_with_name(chars, name)
-            else:
-                lcs = _lcs_arrays(chars, F.split(F.lit(name), ""))
-            sim = _ratio(total - 2 * lcs, total) / 100
-            scored.append(F.when(near, F.struct(sim.alias("sim"), F.lit(-i).alias("rank"))))
-        return F.array_max(F.array(*scored))
-
-    # transform() over a one-element array binds the sorted text once for all names
-    best = F.get(F.transform(F.array(sorted_text), candidates), F.lit(0))
-    return F.when(best["sim"] >= floor, -best["rank"])
-
-
-def _lcs_arrays(a: Column, b: Column) -> Column:
-    """LCS length of two character arrays by rows of the usual table (any length, slower)."""
-
-    def row(prev: Column, ch: Column) -> Column:
-        def cell(acc: Column, i: Column) -> Column:
-            take = F.when(F.get(b, i - 1) == ch, F.get(prev, i - 1) + 1).otherwise(
-                F.greatest(F.get(prev, i), F.element_at(acc, -1))
-            )
-            return F.concat(acc, F.array(take))
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)
-
-    start = F.array_repeat(F.lit(0), F.size(b) + 1)
-    return F.element_at(F.aggregate(a, start, row), -1)
+    table = ", ".join(f"{sql_text(ch)}, {m}L" for ch, m in masks.items())
+    steps = f"transform({chars}, c -> coalesce(try_element_at(map({table}), c), 0L))"
+    free = f"aggregate({steps}, {full}L, (v, m) -> ((v + (v & m)) | (v - (v & m))) & {full}L)"
+    return f"({len(name)} - bit_count({free}))"
+
+
+def _lcs_any(chars: str, name: str) -> str:
+    """The same for longer names, row by row of the table."""
+    other = "array(" + ", ".join(sql_text(ch) for ch in name) + ")"
+    cell = (
+        f"case when get({other}, i - 1) = c then get(prev, i - 1) + 1 "
+        "else greatest(get(prev, i), element_at(acc, -1)) end"
+    )
+    row = f"aggregate(sequence(1, {len(name)}), array(0), (acc, i) -> concat(acc, array({cell})))"
+    return f"element_at(aggregate({chars}, array_repeat(0, {len(name) + 1}), (prev, c) -> {row}), -1)"
+
+
+def best_match(name_column: str, chars_column: str, names: Sequence[str], floor: float) -> Column:
+    """The most similar name as struct(sim, rank), rank being its position times -1, so that the
+    earliest wins ties; NULL if no name can reach the floor. The columns hold the token-sorted text and its characters."""
+    scored = []
+    for i, raw in enumerate(names):
+        name = _sorted_tokens(raw)
+        total = f"(length({name_column}) + {len(name)})"
+        reach = f"ceil({total} * {1.0 - floor!r} + 1e-6)"
+        near = (
+            f"abs(length({name_column}) - {len(name)}) <= {reach} "
+            f"and levenshtein({name_column}, {sql_text(name)}) <= {reach}"
+        )
+        lcs = (_lcs_with_name if len(name) <= _WORD_BITS else _lcs_any)(chars_column, name)
+        sim = f"(1D - cast({total} - 2 * {lcs} as double) / {total}) * 100 / 100"
+        scored.append(f"case when {near} then named_struct('sim', {sim}, 'rank', -{i}) end")
+    return F.expr(f"array_max(array({', '.join(scored)}))")
 
 
 def _indel_ratio(a: str, b: str) -> float:

@@ -51,32 +51,70 @@ def no_marks(c: Column) -> Column:
     return F.translate(c, "®™", "")
 
 
+def sql_text(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     conditions = list(conditions)
     return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
 
 
-def has_any(c: Column, words: Sequence[str]) -> Column:
+def has_any(c: Column | str, words: Sequence[str]) -> Column:
+    """True if one of the words occurs anywhere. Long lists over a named column are handed to
+    Spark as one SQL text, which builds the plan much faster than operator calls."""
+    if isinstance(c, str):
+        return F.expr(has_any_sql(c, words))
     return any_of(c.contains(w) for w in words)
 
 
-def matches(c: Column, pattern: str, needs: Sequence[str] = ()) -> Column:
+def has_any_sql(name: str, words: Sequence[str]) -> str:
+    return "(" + " or ".join(f"contains({name}, {sql_text(w)})" for w in words) + ")"
+
+
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def matches(c: Column | str, pattern: str, needs: Sequence[str] = ()) -> Column:
     """Regular-expression test. `needs` are literals of which every match holds at least one: a
     cheap byte search then keeps most rows away from the regex engine."""
-    test = c.rlike(UNICODE + pattern)
+    test = _col(c).rlike(UNICODE + pattern)
     return has_any(c, needs) & test if needs else test
 
 
-def find(c: Column, pattern: str, group: int = 1, needs: Sequence[str] = ()) -> Column:
+def find(
+    c: Column | str, pattern: str, group: int = 1, needs: Sequence[str] = (), when: Column | None = None
+) -> Column:
     """Text of the first match, '' if there is none."""
-    hit = F.regexp_extract(c, UNICODE + pattern, group)
-    return F.when(has_any(c, needs), hit).otherwise("") if needs else hit
+    hit = F.regexp_extract(_col(c), UNICODE + pattern, group)
+    when = has_any(c, needs) if needs else when
+    return hit if when is None else F.when(when, hit).otherwise("")
 
 
-def find_or_null(c: Column, pattern: str, group: int = 1, needs: Sequence[str] = ()) -> Column:
+def find_or_null(
+    c: Column | str, pattern: str, group: int = 1, needs: Sequence[str] = (), when: Column | None = None
+) -> Column:
     """Text of the first match, NULL if there is none (so that coalesce() can try the next rule)."""
-    hit = F.get(F.regexp_extract_all(c, F.lit(UNICODE + pattern), F.lit(group)), F.lit(0))
-    return F.when(has_any(c, needs), hit) if needs else hit
+    hit = F.get(F.regexp_extract_all(_col(c), F.lit(UNICODE + pattern), F.lit(group)), F.lit(0))
+    when = has_any(c, needs) if needs else when
+    return hit if when is None else F.when(when, hit)
+
+
+# Words that follow a number: '5-Wash Cycle 120V 3/8"' -> '|wash|v|"|'. A rule that needs a number
+# with a unit is tried only on rows that have such a unit.
+_AFTER_NUMBER = UNICODE + r"\d[\s-]*([a-z#\"']+)"
+
+
+def unit_list(low: Column) -> Column:
+    hits = F.regexp_extract_all(low, F.lit(_AFTER_NUMBER), F.lit(1))
+    return F.concat(F.lit("|"), F.array_join(hits, "|"))
+
+
+def has_unit(units: str, *starts: str) -> Column:
+    """True if some number is followed by a word that starts so."""
+    return has_any(units, [f"|{s}" for s in starts])
 
 
 def groups(tail: Column, pattern: str, n: int) -> Column:
@@ -92,8 +130,8 @@ def word_list(c: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(c, UNICODE + r"\W+", " "), F.lit(" "))
 
 
-def has_word(words: Column, *tokens: str) -> Column:
-    return any_of(words.contains(f" {t} ") for t in tokens)
+def has_word(words: Column | str, *tokens: str) -> Column:
+    return has_any(words, [f" {t} " for t in tokens])
 
 
 def ladder(pairs: Iterable[tuple[Column, object]], default=None) -> Column:
@@ -104,28 +142,79 @@ def ladder(pairs: Iterable[tuple[Column, object]], default=None) -> Column:
     return out if default is None else out.otherwise(lit(default))
 
 
-def token_ladder(c: Column, words: Column, tokens: Iterable[tuple[str, object]], default: str | None = "") -> Column:
-    """First token that occurs as whole word(s). Single words use the word list; phrases are
-    searched as they are and then checked for word boundaries."""
+def prefix_tree(words: Sequence[str]) -> str:
+    """Regex for 'the longest of these words that starts here', with shared prefixes."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for ch in word:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def render(node: dict) -> str:
+        alternatives = [re.escape(ch) + render(child) for ch, child in sorted(node.items()) if ch]
+        if not alternatives:
+            return ""
+        body = alternatives[0] if len(alternatives) == 1 and "" not in node else "(?:" + "|".join(alternatives) + ")"
+        return body + "?" if "" in node else body
+
+    return render(root)
+
+
+def ranked_words(table: dict[str, int], whole_words: bool) -> tuple[str, dict[str, int]]:
+    """Regex that finds words of the table at every position, and the rank of what it finds.
+
+    It reports the longest word at a position, so a word inherits the rank of any shorter word it
+    starts with (with whole words only where that one ends at a word boundary, too).
+    """
+    ranks = {}
+    for word, rank in table.items():
+        inner = [
+            r for w, r in table.items()
+            if word.startswith(w) and (not whole_words or w == word or re.match(r"\W", word[len(w):]))
+        ]
+        ranks[word] = min(inner + [rank])
+    tree = prefix_tree(list(ranks))
+    starts = "".join(sorted({re.escape(w[0]) for w in ranks}))
+    if whole_words:
+        return UNICODE + rf"\b(?=[{starts}])(?=({tree})\b)", ranks
+    return f"(?=[{starts}])(?=({tree}))", ranks
+
+
+def first_rank(name: str, table: dict[str, int], whole_words: bool = False) -> str:
+    """SQL for the smallest rank of all words of the table that occur in a column, NULL without
+    any: one pass over the text, whatever the size of the table."""
+    regex, ranks = ranked_words(table, whole_words)
+    entries = ", ".join(f"{sql_text(w)}, {r}" for w, r in ranks.items())
+    hits = f"regexp_extract_all({name}, {sql_text(regex)}, 1)"
+    return f"array_min(transform({hits}, w -> try_element_at(map({entries}), w)))"
+
+
+def first_token(name: str, tokens: Sequence[tuple[str, str]]) -> Column:
+    """Value of the first listed token that occurs as whole word(s), NULL if none does."""
+    ranks: dict[str, int] = {}
+    for i, (token, _) in enumerate(tokens):
+        ranks.setdefault(token, i)
+    return F.get(literal_array([v for _, v in tokens]), F.expr(first_rank(name, ranks, whole_words=True)))
 
-    def hit(token: str) -> Column:
-        if re.fullmatch(r"\w+", token):
-            return has_word(words, token)
-        return matches(c, r"\b" + re.escape(token).replace(r"\ ", " ") + r"\b", needs=[token])
 
-    return ladder([(hit(t), v) for t, v in tokens], default)
+def literal_array(values: Sequence) -> Column:
+    """Constant array, as one SQL text (a call per element would be slow to build)."""
+    return F.expr("array(" + ", ".join(sql_text(v) if isinstance(v, str) else str(v) for v in values) + ")")
 
 
-def literal_array(values: Sequence) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def distinct_filled(*items: Column) -> Column:
+    """Array of the items that are not NULL, each once, in order. array_except() compiles with its
+    arguments, whereas array_compact() is a lambda, and everything below a lambda is interpreted."""
+    return F.array_except(F.array(*items), F.expr("array(cast(null as string))"))
 
 
 def lookup(key: Column, table: dict[str, object]) -> Column:
     """Value of a small literal table, NULL if the key is missing."""
     if not table:
         return F.lit(None)
-    entries = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*entries), key)
+    entries = ", ".join(f"{sql_text(k)}, {sql_text(v) if isinstance(v, str) else v}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
 # ---------------------------------------------------------------------------------------------

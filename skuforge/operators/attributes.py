@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from skuforge import rules
 from skuforge.functions.text import (
-    find, find_or_null, first_filled, groups, has_any, has_word, ladder, leaf, lookup, matches, strip, text,
-    token_ladder, word_list,
+    distinct_filled, find, find_or_null, first_filled, first_token, groups, has_any, has_unit, has_word, ladder, leaf, lookup,
+    matches, strip, text, unit_list, word_list,
 )
 from skuforge.functions.units import NUM, fraction_to_double, peek_uom, squash
 from skuforge.operators.describe import LABELS
@@ -36,71 +36,82 @@ SIZE2 = f"({NUM}){_AFTER}{_Q}x\\s*({NUM}){_AFTER}"
 BOARD = r"(\d+n?)\s*[xX]\s*(\d+)\s*[- ]\s*(\d+)" + _AFTER
 REST = r"[\s\S]*"
 
-ATTRIBUTE = "struct<label:string,value:string,uom:string>"
-
 
 # --------------------------------------------------------------------------------------------- context
-def is_abrasive(category: Column, low: Column) -> Column:
-    return has_any(F.lower(category), ["cut-off", "grinding", "sanding", "abrasive"]) | has_any(
-        low, rules.ABRASIVE_WORDS
-    )
+def is_abrasive(category: str, low: str) -> Column:
+    return has_any(category, ["cut-off", "grinding", "sanding", "abrasive"]) | has_any(low, rules.ABRASIVE_WORDS)
 
 
-def is_fitting(category: Column, low: Column) -> Column:
-    return has_any(F.lower(category), ["fitting", "valve", "faucet", "coupling"]) | has_any(low, rules.FITTING_WORDS)
+def is_fitting(category: str, low: str) -> Column:
+    return has_any(category, ["fitting", "valve", "faucet", "coupling"]) | has_any(low, rules.FITTING_WORDS)
 
 
-def is_fastener(category: Column, low: Column) -> Column:
-    return has_any(F.lower(category), ["fastener", "nail"]) | has_any(low, rules.FASTENER_WORDS)
+def is_fastener(category: str, low: str) -> Column:
+    return has_any(category, ["fastener", "nail"]) | has_any(low, rules.FASTENER_WORDS)
 
 
 # --------------------------------------------------------------------------------------------- layer 0
-def with_text(df: DataFrame, desc: Column, mpn: Column, manufacturer: Column) -> DataFrame:
-    """The text all rules read: description, part number and resolved manufacturer."""
+def with_text(
+    df: DataFrame, desc: Column, mpn: Column, manufacturer: Column,
+    category: str = "product_name", classpath: str = "classpath",
+) -> DataFrame:
+    """The text all rules read (description, part number and resolved manufacturer) in the forms
+    they read it in."""
     joined = strip(F.concat(text(desc), F.lit(" "), text(mpn), F.lit(" "), text(manufacturer)))
-    df = layer(df, {"_text": joined, "_mpn": text(mpn)})
-    return layer(df, {"_low": F.lower(C("_text")), "_words": word_list(F.lower(C("_text")))})
+    df = layer(df, {"_text": F.when(C(category).isNotNull(), joined), "_mpn": F.upper(text(mpn))})
+    df = layer(df, {"_low": F.lower(C("_text")), "_cat": F.lower(C(category)), "k_leaf": leaf(text(C(classpath)))})
+    return layer(
+        df,
+        {
+            "_words": word_list(C("_low")), "_units": unit_list(C("_low")), "k_category": C(category),
+            "_ctx": F.concat(C("_cat"), F.lit(" "), C("_low")),
+        },
+    )
 
 
 # --------------------------------------------------------------------------------------------- layer 1
-def captures(category: str = "product_name", classpath: str = "classpath") -> dict[str, Column]:
-    low, words, cat = C("_low"), C("_words"), F.lower(text(C(category)))
+def captures() -> dict[str, Column]:
+    low, words, units, cat = "_low", "_words", "_units", "_cat"
     num = f"({NUM})"
     inch = r'\s*(?:"|in\b|inch)?\s*'
-    size_shape = low.contains("x") & low.rlike(r"(?U)[\dn\"'\s]x\s*[\d.]")
+    size_shape = C(low).contains("x") & C(low).rlike(r"(?U)[\dn\"'\s]x\s*[\d.]")
+
+    def measured(pattern: str, *starts: str) -> Column:
+        return find(low, pattern, when=has_unit(units, *starts))
+
     return {
-        "c_series": token_ladder(low, words, [(s.lower(), s) for s in rules.SERIES]),
-        "c_watt": find(low, r"\b(\d+)\s*w\b", needs=["w"]),
-        "c_volt": find(low, r"\b(\d+)\s*(?:volts|volt|vac|v)\b", needs=["v"]),
-        "c_vah": find(low, r"(\d+\s*v\s*\d+(?:\.\d+)?)\s*ah", needs=["ah"]),
-        "c_amp": find(low, r"\b(\d+)\s*(?:amps|amp|a)\b"),
-        "c_ah": find(low, r"\b(\d+(?:\.\d+)?)\s*ah\b", needs=["ah"]),
+        "c_series": text(first_token(low, [(s.lower(), s) for s in rules.SERIES])),
+        "c_watt": measured(r"\b(\d+)\s*w\b", "w"),
+        "c_volt": measured(r"\b(\d+)\s*(?:volts|volt|vac|v)\b", "v"),
+        "c_vah": measured(r"(\d+\s*v\s*\d+(?:\.\d+)?)\s*ah", "ah"),
+        "c_amp": measured(r"\b(\d+)\s*(?:amps|amp|a)\b", "a"),
+        "c_ah": measured(r"\b(\d+(?:\.\d+)?)\s*ah\b", "ah"),
         "c_group": find(low, r"\b(8d|24f|27f|31|34|35|48|49|51r|65|78)\s*battery\b", needs=["battery"]),
-        "c_kelvin": find(low, r"\b(\d{1,2})k\b", needs=["k"]),
+        "c_kelvin": measured(r"\b(\d{1,2})k\b", "k"),
         "c_cct": matches(low, r"\b(?:multi cct|5cct|selectable cct)\b", needs=["cct"]),
-        "c_bulb": find(
-            words, r"\b(br30|a19|par38|par30|mr16|b10|g25|t8|t5|cand|med)\b",
-            needs=["br30", "a19", "par3", "mr16", "b10", "g25", "t8", "t5", "cand", "med"],
-        ),
-        "c_sound": find(low, r"(\d+)\s*(?:dba|db)\b", needs=["db"]),
+        "c_bulb": find(words, r" (br30|a19|par38|par30|mr16|b10|g25|t8|t5|cand|med) "),
+        "c_sound": measured(r"(\d+)\s*(?:dba|db)\b", "db"),
         "c_size3": F.when(size_shape, find(low, SIZE3 + REST, 0)).otherwise(""),
-        "c_board": F.when(size_shape, find(C("_text"), BOARD + REST, 0)).otherwise(""),
+        "c_board": F.when(size_shape, find("_text", BOARD + REST, 0)).otherwise(""),
         "c_size2": F.when(size_shape, find(low, SIZE2 + REST, 0)).otherwise(""),
-        "c_grit": find(low, r"\b(p\d{2,4}|\d{2,3}\s*grit|\d{2,3}g)\b", needs=["p", "g"]),
-        "c_pack": find(
-            low, r"(\d+)\s*(?:pk|pack|pc|disc/box|pro/\d+|box|port|sq)\b", needs=["p", "box", "sq"]
+        "c_grit": find(
+            low, r"\b(p\d{2,4}|\d{2,3}\s*grit|\d{2,3}g)\b",
+            when=has_unit(units, "g") | C(words).rlike(r"(?U) p\d"),
+        ),
+        "c_pack": measured(
+            r"(\d+)\s*(?:pk|pack|pc|disc/box|pro/\d+|box|port|sq)\b", "pk", "pa", "pc", "pr", "po", "disc", "box", "sq"
         ),
-        "c_material": token_ladder(low, words, rules.MATERIALS),
+        "c_material": text(first_token(low, rules.MATERIALS)),
         "c_finish": F.coalesce(
-            token_ladder(low, words, rules.FINISHES, None),
-            ladder([(F.upper(C("_mpn")).endswith(code), name) for code, name in rules.MPN_FINISHES], ""),
+            first_token(low, rules.FINISHES),
+            ladder([(C("_mpn").endswith(code), name) for code, name in rules.MPN_FINISHES], ""),
         ),
         "c_drive": find(
             low, num + inch + r"(?:drive|impact|rachet|ratchet|hex)",
-            needs=["drive", "impact", "rachet", "ratchet", "hex"],
+            when=has_unit(units, '"', "in", "drive", "impact", "ra", "hex"),
         ),
-        "c_hp": find(low, num + r"\s*hp\b", needs=["hp"]),
-        "c_phase": find(low, r"\b(1ph|1 ph|1-phase|1\s*phase|3ph|3 ph|3-phase)\b", needs=["ph"]),
+        "c_hp": measured(num + r"\s*hp\b", "hp"),
+        "c_phase": measured(r"\b(1ph|1 ph|1-phase|1\s*phase|3ph|3 ph|3-phase)\b", "ph"),
         "c_laser": has_word(words, "laser") | matches(low, r"\bcross line\b", needs=["cross line"]),
         "c_mount": ladder(
             [
@@ -115,8 +126,8 @@ def captures(category: str = "product_name", classpath: str = "classpath") -> di
         ),
         "c_gas": has_word(words, "gas"),
         "c_electric": has_word(words, "elect", "electric"),
-        "c_flow": find(low, r"(\d+(?:\.\d+)?)\s*(?:gpm|g/m)\b", needs=["gpm", "g/m"]),
-        "c_press": find(low, r"(\d+)\s*(?:#|lb\b|class\s*\d+)", needs=["#", "lb", "class"]),
+        "c_flow": measured(r"(\d+(?:\.\d+)?)\s*(?:gpm|g/m)\b", "g"),
+        "c_press": measured(r"(\d+)\s*(?:#|lb\b|class\s*\d+)", "#", "lb", "class"),
         "c_conn": ladder(
             [
                 (matches(low, r"\bfnpt\s*x\s*mnpt\b", needs=["fnpt"]), "FNPT x MNPT"),
@@ -126,10 +137,10 @@ def captures(category: str = "product_name", classpath: str = "classpath") -> di
             ],
             "",
         ),
-        "c_cycles": find(low, r"(\d+)\s*[- ]?(?:wash cycle|cycles|cycle)\b", needs=["cycle"]),
+        "c_cycles": measured(r"(\d+)\s*[- ]?(?:wash cycle|cycles|cycle)\b", "wash", "cycle"),
         "c_depth": F.coalesce(
             squash(find_or_null(low, num + r'\s*(?:in\.|inch|in|")\s*depth', needs=["depth"])),
-            F.when(low.contains("50-1/4in"), "50-1/4").otherwise(""),
+            F.when(C(low).contains("50-1/4in"), "50-1/4").otherwise(""),
         ),
         "k_abrasive": is_abrasive(cat, low),
         "k_fitting": is_fitting(cat, low),
@@ -139,9 +150,6 @@ def captures(category: str = "product_name", classpath: str = "classpath") -> di
         | has_any(low, ["patio dr", "gliding"])
         | matches(low, r"low[\s-]?e", needs=["low"]),
         "k_appliance": has_any(cat, rules.APPLIANCE_WORDS),
-        "k_disc": is_abrasive(cat, F.concat(cat, F.lit(" "), low)) & ~cat.contains("belt") & ~low.contains("belt"),
-        "k_leaf": leaf(text(C(classpath))),
-        "k_category": text(C(category)),
     }
 
 
@@ -149,63 +157,58 @@ def captures(category: str = "product_name", classpath: str = "classpath") -> di
 def sizes() -> dict[str, Column]:
     """Groups of the size chain that applies: three numbers, else a board, else two numbers, else
     one number with a hint what it measures."""
-    low = C("_low")
+    low, units = "_low", "_units"
     num = f"({NUM})"
     s3, board, s2 = C("c_size3") != "", C("c_board") != "", C("c_size2") != ""
 
-    def tagged(tag: str, hit: Column) -> Column:
-        return F.concat(F.lit(tag), hit)
+    def tagged(tag: str, pattern: str, when: Column) -> Column:
+        return F.concat(F.lit(tag), find_or_null(low, pattern, when=when))
 
     single = F.coalesce(
-        tagged("L", find_or_null(low, r"\b" + num + r"\s*(?:'|ft\b|feet\b)", needs=["'", "ft", "feet"])),
-        tagged(
-            "S",
-            find_or_null(
-                low, num + r'\s*(?:"|in\b|inch)?\s*(?:spindle|arbor|shank|collet)',
-                needs=["spindle", "arbor", "shank", "collet"],
-            ),
-        ),
-        tagged("D", find_or_null(low, num + r'\s*(?:"|in\b|inches\b|inch\b)', needs=['"', "in"])),
+        tagged("L", r"\b" + num + r"\s*(?:'|ft\b|feet\b)", has_unit(units, "'", "ft", "feet")),
         tagged(
-            "P",
-            find_or_null(low, num + r"\s*[-]?\s*(?:" + "|".join(rules.PIPE_NOUNS) + r")\b", needs=rules.PIPE_NOUNS),
+            "S", num + r'\s*(?:"|in\b|inch)?\s*(?:spindle|arbor|shank|collet)',
+            has_any(low, ["spindle", "arbor", "shank", "collet"]),
         ),
-        tagged("R", find_or_null(low, r"(?<![\w./-])(\d+\s*-\s*\d+)(?![\w./-])", needs=["-"])),
+        tagged("D", num + r'\s*(?:"|in\b|inches\b|inch\b)', has_unit(units, '"', "in")),
+        tagged("P", num + r"\s*[-]?\s*(?:" + "|".join(rules.PIPE_NOUNS) + r")\b", has_unit(units, *rules.PIPE_NOUNS)),
+        tagged("R", r"(?<![\w./-])(\d+\s*-\s*\d+)(?![\w./-])", C(low).contains("-")),
         F.lit(""),
     )
+    fast = C("k_fastener")
     return {
         "z3": F.when(s3, groups(C("c_size3"), SIZE3, 6)),
         "zb": F.when(~s3 & board, groups(C("c_board"), BOARD, 4)),
         "z2": F.when(~s3 & ~board & s2, groups(C("c_size2"), SIZE2, 4)),
         "z1": F.when(~s3 & ~board & ~s2, single).otherwise(""),
-        "c_rpm": F.when(C("k_abrasive"), find(low, r"(\d{4,6})\s*rpm", needs=["rpm"])).otherwise(""),
-        "c_thread": F.when(C("k_fastener"), _thread(low)).otherwise(""),
+        "k_disc": is_abrasive("_cat", "_ctx") & ~has_any("_ctx", ["belt"]),
+        "c_rpm": find(low, r"(\d{4,6})\s*rpm", when=C("k_abrasive") & has_unit(units, "rpm")),
+        "c_thread": F.when(fast, _thread()).otherwise(""),
         "c_fastlen": F.when(
-            C("k_fastener"),
+            fast,
             F.coalesce(
-                find_or_null(C("_text"), r"[xX]\s*" + num + r'\s*(?:"|in\b|inch)', needs=["x", "X"]),
+                find_or_null("_text", r"[xX]\s*" + num + r'\s*(?:"|in\b|inch)', needs=["x", "X"]),
                 find_or_null(low, num + r'\s*"\s*(?:long|lg\b)', needs=["long", "lg"]),
                 F.lit(""),
             ),
         ).otherwise(""),
-        "c_head": F.when(C("k_fastener"), F.initcap(find(low, "(" + "|".join(rules.HEADS) + ")"))).otherwise(""),
-        "c_drv": F.when(C("k_fastener"), F.initcap(find(low, "(" + "|".join(rules.DRIVES) + ")"))).otherwise(""),
-        "c_coat": F.when(C("k_fastener"), find(low, "(" + "|".join(k for k, _ in rules.COATINGS) + ")")).otherwise(""),
+        "c_head": F.when(fast, F.initcap(find(low, "(" + "|".join(rules.HEADS) + ")"))).otherwise(""),
+        "c_drv": F.when(fast, F.initcap(find(low, "(" + "|".join(rules.DRIVES) + ")"))).otherwise(""),
+        "c_coat": F.when(fast, find(low, "(" + "|".join(k for k, _ in rules.COATINGS) + ")")).otherwise(""),
     }
 
 
-def _thread(low: Column) -> Column:
-    """1/4-20, M8-1... unless the text speaks of a class or grade, else #10-32 or #8."""
+def _thread() -> Column:
+    """1/4-20 and the like unless the text speaks of a class or grade, else #10-32 or #8."""
+    low = "_low"
     diameter = find_or_null(low, f"({NUM}" + r"\s*-\s*\d{1,2})(?![\d/.])(?:\s*(?:tpi|threads?))?\b", needs=["-"])
     gauge = find_or_null(low, r"(#\d+(?:\s*-\s*\d{1,2})?)(?!\d)", needs=["#"])
-    return F.coalesce(
-        squash(F.when(~has_word(C("_words"), "class", "grade"), diameter)), squash(gauge), F.lit("")
-    )
+    return F.coalesce(squash(F.when(~has_word("_words", "class", "grade"), diameter)), squash(gauge), F.lit(""))
 
 
 # --------------------------------------------------------------------------------------------- layer 3
 def derive() -> dict[str, Column]:
-    low, words = C("_low"), C("_words")
+    low, words = "_low", "_words"
     z3, zb, z2, z1 = C("z3"), C("zb"), C("z2"), C("z1")
     tag, one = F.substring(z1, 1, 1), squash(F.substring(z1, F.lit(2), F.length(z1)))
 
@@ -249,7 +252,7 @@ def derive() -> dict[str, Column]:
         ),
         "d_deckcolor": F.when(
             C("k_deck") & (C("c_finish") == ""),
-            token_ladder(low, words, [(c.lower(), c) for c in rules.DECKING_COLORS]),
+            text(first_token(low, [(c.lower(), c) for c in rules.DECKING_COLORS])),
         ).otherwise(""),
     }
 
@@ -261,7 +264,7 @@ def text_le(d: Column, bound: float) -> Column:
 # --------------------------------------------------------------------------------------------- layer 4
 def facts() -> dict[str, Column]:
     """Attribute values that need more than one capture; '' where a rule does not apply."""
-    low, words = C("_low"), C("_words")
+    low, words = "_low", "_words"
     tag, one = C("d_tag"), C("d_one")
 
     def word(*tokens: str) -> Column:
@@ -475,24 +478,28 @@ SLOTS = [
 RULES = list(dict.fromkeys(slot.rule for slot in SLOTS))
 
 
-def attribute_array(only: str | None = None) -> Column:
-    """Filled slots in order; with `only`, those of one rule."""
-    slots = [slot.struct() for slot in SLOTS if only is None or slot.rule == only]
-    return F.array_compact(F.array(*slots)).cast(f"array<{ATTRIBUTE}>")
+def slot_array(only: str | None = None) -> Column:
+    """All slots in order, NULL where a rule does not apply; with `only`, those of one rule."""
+    return F.array(*[slot.struct() for slot in SLOTS if only is None or slot.rule == only])
+
+
+def filled_slots(name: str = "_slots") -> Column:
+    """Attribute array of a slot column. The column is read twice so that the optimizer leaves it
+    in a projection of its own: there it is compiled, below a lambda it would be interpreted."""
+    slots = C(name)
+    return F.when(F.size(slots) > 0, F.filter(slots, lambda s: s.isNotNull()))
 
 
 def detected_features() -> Column:
     low = C("_low")
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(low.contains(word), F.lit(name))
-                for word, name in [
-                    ("cleanboost", "With CleanBoost™"), ("3rd rack", "3rd Rack"),
-                    ("stikit", "Stikit™ Attachment"), ("dko", "Dual Knockout (DKO)"),
-                ]
+    return distinct_filled(
+        *[
+            F.when(low.contains(word), F.lit(name))
+            for word, name in [
+                ("cleanboost", "With CleanBoost™"), ("3rd rack", "3rd Rack"),
+                ("stikit", "Stikit™ Attachment"), ("dko", "Dual Knockout (DKO)"),
             ]
-        )
+        ]
     )
 
 
@@ -553,11 +560,12 @@ def extract_attributes(
     classified frame."""
     keep = df.columns
     df = with_rules(df, desc, mpn, manufacturer)
-    return df.select(
+    df = df.select(
         *keep,
-        attribute_array(only).alias("attributes"),
+        slot_array(only).alias("_slots"),
         detected_features().alias("detected_features"),
         dimensions().alias("dimensions"),
         *[text(C(column)).alias(name) for name, column in SCALARS.items()],
         label_values().alias("label_values"),
     )
+    return layer(df, {"attributes": filled_slots()}).drop("_slots")

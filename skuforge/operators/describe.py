@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuforge import rules
-from skuforge.functions.text import first_filled, ladder, leaf, lookup, no_marks, squeeze, strip, text
+from skuforge.functions.text import distinct_filled, first_filled, ladder, leaf, lookup, no_marks, squeeze, strip, text
 from skuforge.operators.stages import layer
 
 C = F.col
@@ -31,7 +31,7 @@ def joined(parts: list[Column], sep: str = " ") -> Column:
 
 
 def value_unit(a: Column) -> Column:
-    return F.when(text(a["uom"]) != "", strip(F.concat(a["value"], F.lit(" "), a["uom"]))).otherwise(a["value"])
+    return F.when(text(a["uom"]) != "", F.concat(a["value"], F.lit(" "), a["uom"])).otherwise(a["value"])
 
 
 def without(attributes: Column, *labels: str) -> Column:
@@ -111,32 +111,29 @@ def invoice_desc() -> Column:
 
 
 # --------------------------------------------------------------------------------------------- mobile
-def mobile_start(f: Facts) -> dict[str, Column]:
-    """Parts of a mobile text before its length is adjusted, and the specs that may be added."""
+def mobile_start(f: Facts) -> list[dict[str, Column]]:
+    """Layers with the parts of a mobile text before its length is adjusted."""
     codes = r" \((" + "|".join(rules.SUPPLIER_CODES) + r")\)"
-    m = text(f.manufacturer)
-    m = strip(F.when(m.contains("("), F.regexp_replace(m, codes, "")).otherwise(m))
-    b = strip(text(f.brand))
-    b = F.when((b == "") | b.startswith("--"), m).otherwise(b)
-    return {
-        "m_maker": ladder([((m != "") & (b != "") & (m != b), F.concat(m, F.lit(" "), b)), (b != "", b)], m),
-        "m_specs": F.transform(F.slice(without(f.attributes, "Series", "Bulb Base / Shape"), 1, 3), value_unit),
-    }
-
-
-def mobile_base(f: Facts) -> Column:
-    product = first_filled(f.product, F.lit("Hardware Component"))
-    maker, series = C("m_maker"), text(f.series)
-    spec = F.get(C("m_specs"), F.lit(0))
-    return F.array_compact(
-        F.array(
-            F.when(maker != "", maker),
-            F.when(product != maker, product),
-            F.when((series != "") & (series != maker) & (series != product), series),
-            spec,
-            F.when(text(f.mpn) != "", f.mpn),
-        )
-    )
+    raw, b, m = text(f.manufacturer), C("m_b"), C("m_m")
+    product, series, maker = C("m_product"), text(f.series), C("m_maker")
+    return [
+        {
+            "m_m": strip(F.when(raw.contains("("), F.regexp_replace(raw, codes, "")).otherwise(raw)),
+            "m_raw": strip(text(f.brand)),
+            "m_product": first_filled(f.product, F.lit("Hardware Component")),
+            "m_specs": F.transform(F.slice(without(f.attributes, "Series", "Bulb Base / Shape"), 1, 3), value_unit),
+        },
+        {"m_b": F.when((C("m_raw") == "") | C("m_raw").startswith("--"), m).otherwise(C("m_raw"))},
+        {"m_maker": ladder([((m != "") & (b != "") & (m != b), F.concat(m, F.lit(" "), b)), (b != "", b)], m)},
+        {
+            "m_1": F.when(maker != "", maker),
+            "m_2": F.when(product != maker, product),
+            "m_3": F.when((series != "") & (series != maker) & (series != product), series),
+            "m_4": F.get(C("m_specs"), F.lit(0)),
+            "m_5": F.when(text(f.mpn) != "", f.mpn),
+        },
+        {"m_parts": F.array_compact(F.array(*[C(f"m_{i}") for i in range(1, 6)]))},
+    ]
 
 
 def _line(parts: Column) -> Column:
@@ -150,8 +147,8 @@ def _insert_before_last(parts: Column, item: Column) -> Column:
 def mobile_desc(df: DataFrame, f: Facts) -> DataFrame:
     """Adds mobile_desc: padded with checked specs below 60 characters, trimmed above 80."""
     low, high = rules.MOBILE_LOW, rules.MOBILE_HIGH
-    df = layer(df, mobile_start(f))
-    df = layer(df, {"m_parts": mobile_base(f)})
+    for columns in mobile_start(f):
+        df = layer(df, columns)
     for i in (1, 2):
         extra = F.get(C("m_specs"), F.lit(i))
         short = (F.length(_line(C("m_parts"))) < low) & extra.isNotNull()
@@ -197,12 +194,17 @@ def short_desc(f: Facts) -> Column:
 def long_desc(f: Facts) -> Column:
     base = F.concat(f.maker(), F.lit(" "), text(f.product), F.lit(" (MPN: "), text(f.mpn), F.lit(")"))
     specs = F.transform(
-        f.attributes, lambda a: strip(F.concat(a["label"], F.lit(": "), a["value"], F.lit(" "), a["uom"]))
+        f.attributes, lambda a: F.concat(a["label"], F.lit(": "), value_unit(a))
     )
     return F.when(F.size(f.attributes) > 0, F.concat(base, F.lit(" - "), F.array_join(specs, ", "))).otherwise(base)
 
 
-def retail_desc(f: Facts) -> Column:
+def highlights_of(f: Facts) -> Column:
+    """First four attributes that say more than what the product is."""
+    return F.slice(without(f.attributes, "Product Type", "Application", "Series"), 1, 4)
+
+
+def retail_desc(f: Facts, highlights: Column) -> Column:
     maker = strip(no_marks(f.maker()))
     series = text(f.series)
     head = F.concat(
@@ -211,15 +213,12 @@ def retail_desc(f: Facts) -> Column:
         F.lit(" "), first_filled(f.product, F.lit("Industrial Product")),
         F.when(text(f.mpn) != "", F.concat(F.lit(" (MPN: "), f.mpn, F.lit(")"))).otherwise(""),
     )
-    specs = F.transform(
-        F.slice(without(f.attributes, "Product Type", "Application", "Series"), 1, 4),
-        lambda a: strip(F.concat(a["label"], F.lit(": "), value_unit(a))),
-    )
+    specs = F.transform(highlights, lambda a: F.concat(a["label"], F.lit(": "), value_unit(a)))
     line = F.array_join(specs, ", ")
     return F.concat(head, F.when(line != "", F.concat(F.lit(" featuring "), line)).otherwise(""), F.lit("."))
 
 
-def marketing_description(f: Facts) -> Column:
+def marketing_description(f: Facts, highlights: Column) -> Column:
     product = strip(first_filled(f.product, F.lit("component")))
     target = F.when(text(f.classpath) != "", leaf(f.classpath)).otherwise(product)
     series = text(f.series)
@@ -229,7 +228,7 @@ def marketing_description(f: Facts) -> Column:
         F.lower(target), F.lit(" applications."),
     )
     specs = F.transform(
-        F.slice(without(f.attributes, "Product Type", "Application", "Series"), 1, 3),
+        F.slice(highlights, 1, 3),
         lambda a: F.concat(
             a["value"], F.when(a["uom"] != "", F.concat(F.lit(" "), a["uom"])).otherwise(""), F.lit(" "), F.lower(a["label"])
         ),
@@ -248,7 +247,7 @@ def describe(df: DataFrame, f: Facts | None = None) -> DataFrame:
     """Adds the six channel descriptions."""
     f = f or Facts.of_columns()
     keep = df.columns
-    df = layer(df, invoice_parts(f))
+    df = layer(df, {**invoice_parts(f), "_top": highlights_of(f)})
     df = mobile_desc(df, f)
     return df.select(
         *keep,
@@ -256,8 +255,8 @@ def describe(df: DataFrame, f: Facts | None = None) -> DataFrame:
         C("mobile_desc"),
         short_desc(f).alias("short_desc"),
         long_desc(f).alias("long_desc1"),
-        retail_desc(f).alias("retail_desc"),
-        marketing_description(f).alias("marketing_description"),
+        retail_desc(f, C("_top")).alias("retail_desc"),
+        marketing_description(f, C("_top")).alias("marketing_description"),
     )
 
 
@@ -327,7 +326,7 @@ def synthesize_features(values: Column, f: Facts, mount: Column) -> Column:
         bullet("", text(f.series), " Series"),
         bullet("Engineered for ", value_of(values, "Application"), " applications"),
     ]
-    return F.array_distinct(F.array_compact(F.array(*out)))
+    return distinct_filled(*out)
 
 
 def merge_features(detected: Column, synthesized: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuforge import rules
-from skuforge.functions.text import clean_desc, clean_placeholder, clean_supplier, first_filled, strip, text
+from skuforge.functions.text import clean_desc, clean_placeholder, clean_supplier, distinct_filled, first_filled, strip, text
 from skuforge.functions.units import std_dimensions
 from skuforge.operators.resolve import resolve
 from skuforge.operators.stages import layer
@@ -27,9 +27,7 @@ def pick_brand(df: DataFrame) -> Column:
 
 def missing_fields() -> Column:
     """Names of the required fields that are blank, in contract order."""
-    return F.array_compact(
-        F.array(*[F.when(strip(text(F.col(c))) == "", F.lit(c)) for c in rules.REQUIRED_VALUES])
-    )
+    return distinct_filled(*[F.when(strip(text(F.col(c))) == "", F.lit(c)) for c in rules.REQUIRED_VALUES])
 
 
 def normalize(df: DataFrame, catalog: Sequence[rules.CatalogRow] = rules.CATALOG) -> DataFrame:

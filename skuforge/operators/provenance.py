@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuforge import rules
-from skuforge.functions.text import any_of, ladder, no_marks, squeeze, strip, text
+from skuforge.functions.text import any_of, first_rank, ladder, literal_array, no_marks, squeeze, strip, text
 from skuforge.operators.stages import layer
 
 C = F.col
@@ -19,15 +19,16 @@ def _bare(c: Column) -> Column:
     return squeeze(no_marks(F.substring_index(text(c), "(", 1)))
 
 
-def match_domain(manufacturer: Column, brand: Column, domains: Mapping[str, str] = rules.DOMAINS) -> Column:
-    """Domain of the longest known fragment found in 'manufacturer brand', '' if none."""
-    hay = F.lower(F.concat(_bare(manufacturer), F.lit(" "), _bare(brand)))
-    return _domain_in(hay, domains)
+def hay(manufacturer: Column, brand: Column) -> Column:
+    """Lower-case text the fragments are searched in."""
+    return F.lower(F.concat(_bare(manufacturer), F.lit(" "), _bare(brand)))
 
 
-def _domain_in(hay: Column, domains: Mapping[str, str]) -> Column:
+def match_domain(name: str, domains: Mapping[str, str] = rules.DOMAINS) -> Column:
+    """Domain of the longest known fragment in the column `name` (see hay), '' if none."""
     ordered = sorted(domains, key=len, reverse=True)
-    return ladder([(hay.contains(k), domains[k]) for k in ordered], "")
+    rank = first_rank(name, {k: i for i, k in enumerate(ordered)})
+    return text(F.get(literal_array([domains[k] for k in ordered]), F.expr(rank)))
 
 
 def quote_plus(c: Column) -> Column:
@@ -46,11 +47,9 @@ def provenance_urls(
 ) -> DataFrame:
     """Adds mfr_url and ref_urls; both stay empty for makers without a known domain."""
     keep = df.columns
-    m = _bare(manufacturer)
-    b = _bare(brand)
-    hay = F.lower(F.concat(m, F.lit(" "), F.when(b != "", b).otherwise(m)))
-    df = layer(df, {"_u_hay": hay, "_u_mpn": quote_plus(strip(text(mpn)))})
-    df = layer(df, {"_u_dom": _domain_in(C("_u_hay"), domains)})
+    named = F.when(_bare(brand) != "", brand).otherwise(manufacturer)
+    df = layer(df, {"_u_hay": hay(manufacturer, named), "_u_mpn": quote_plus(strip(text(mpn)))})
+    df = layer(df, {"_u_dom": match_domain("_u_hay", domains)})
     site = F.concat(F.lit("https://www."), C("_u_dom"))
     key = C("_u_mpn")
     refs = F.when(

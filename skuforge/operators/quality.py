@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuforge import rules
-from skuforge.functions.text import UNICODE, is_generic, is_upper, strip, text
+from skuforge.functions.text import UNICODE, distinct_filled, is_generic, is_upper, strip, text
 from skuforge.operators.stages import layer
 
 C = F.col
@@ -53,7 +53,7 @@ def confidence(df: DataFrame, raw_desc: Column) -> DataFrame:
     df = layer(df, {f"_q{i}": cond for i, (cond, _, _) in enumerate(findings)})
     lost = sum((F.when(C(f"_q{i}"), p).otherwise(0) for i, (_, p, _) in enumerate(findings)), F.lit(0))
     df = layer(df, {"_q_score": F.greatest(F.lit(0.0), F.lit(100.0) - lost)})
-    reasons = F.array_compact(F.array(*[F.when(C(f"_q{i}"), r) for i, (_, _, r) in enumerate(findings)]))
+    reasons = distinct_filled(*[F.when(C(f"_q{i}"), r) for i, (_, _, r) in enumerate(findings)])
     return df.select(
         *keep,
         C("_q_score").alias("confidence_score"),
@@ -69,7 +69,7 @@ def schema_errors() -> Column:
         F.when(F.length(C(c)) > n, F.lit(f"{c}: at most {n} characters"))
         for c, n in (("invoice_desc", rules.INVOICE_MAX), ("mobile_desc", rules.MOBILE_MAX))
     ]
-    return F.array_compact(F.array(*missing, *limits))
+    return distinct_filled(*missing, *limits)
 
 
 def overflow_warnings() -> Column:
@@ -83,7 +83,7 @@ def overflow_warnings() -> Column:
             F.lit(f"{name} overflow: "), n.cast("string"), F.lit(f" {name}s extracted, only first {slots} exported")
         )
         out.append(F.when(n > slots, message))
-    return F.array_compact(F.array(*out))
+    return distinct_filled(*out)
 
 
 def validation_flags(errors: Column | None = None) -> Column:
@@ -118,18 +118,16 @@ NO_RECORD = """named_struct('schema_valid', false, 'schema_errors', cast(array()
 
 def review_reasons(v: Column) -> Column:
     """Reasons of the engine, then our own, each once."""
-    own = F.array_compact(
-        F.array(
-            F.when(C("needs_review") & (F.size(C("review_reasons")) == 0), F.lit("Flagged for review by the enrichment engine")),
-            F.when(~v["invoice_char_pass"], invoice_too_long(v["invoice_len"])),
-            F.when(~v["invoice_caps"], F.lit(NOT_UPPER)),
-            F.when(
-                ~v["mobile_target_pass"],
-                _chars("MOBILE_DESC length (", v["mobile_len"], " chars) outside target 60-80 window"),
-            ),
-            F.when(v["attribute_count"] == 0, F.lit(NO_ATTRIBUTES)),
-            F.when(v["generic_classpath"], F.lit(GENERIC)),
-        )
+    own = distinct_filled(
+        F.when(C("needs_review") & (F.size(C("review_reasons")) == 0), F.lit("Flagged for review by the enrichment engine")),
+        F.when(~v["invoice_char_pass"], invoice_too_long(v["invoice_len"])),
+        F.when(~v["invoice_caps"], F.lit(NOT_UPPER)),
+        F.when(
+            ~v["mobile_target_pass"],
+            _chars("MOBILE_DESC length (", v["mobile_len"], " chars) outside target 60-80 window"),
+        ),
+        F.when(v["attribute_count"] == 0, F.lit(NO_ATTRIBUTES)),
+        F.when(v["generic_classpath"], F.lit(GENERIC)),
     )
     return F.array_distinct(F.concat(C("review_reasons"), own))
 
@@ -143,7 +141,7 @@ def review_categories(v: Column) -> Column:
         "description_issue": ~v["invoice_pass"] | ~v["mobile_target_pass"],
         "export_issue": F.size(v["export_warnings"]) > 0,
     }
-    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks.items()]))
+    return distinct_filled(*[F.when(cond, F.lit(name)) for name, cond in checks.items()])
 
 
 def grade(df: DataFrame, missing: Column | None = None) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuforge import rules
-from skuforge.functions.similarity import best_match
+from skuforge.functions.similarity import best_match, token_sort
 from skuforge.functions.text import (
-    clean_desc, clean_placeholder, clean_supplier, has_any, ladder, literal_array, lookup, no_marks, strip, text,
+    clean_desc, clean_placeholder, clean_supplier, first_rank, ladder, literal_array, lookup, no_marks, strip, text,
 )
 from skuforge.operators.stages import layer
 from skuforge.rules import CatalogRow
@@ -64,13 +64,11 @@ def distributor_row(supplier: Column, mpn: Column, desc: Column, catalog: Sequen
     return ladder(cases) if cases else F.lit(None).cast("int")
 
 
-def keyword_row(mpn: Column, desc: Column, catalog: Sequence[CatalogRow]) -> Column:
-    """Step 3: a catalog keyword anywhere in the description or the part number."""
-    kept = deciding_keywords([row.keywords for row in catalog])
-    cases = [
-        (has_any(desc, kws) | has_any(mpn, [k.upper() for k in kws]), i) for i, kws in enumerate(kept) if kws
-    ]
-    return ladder(cases) if cases else F.lit(None).cast("int")
+def keyword_row(mpn_and_desc: str, catalog: Sequence[CatalogRow]) -> Column:
+    """Step 3: a catalog keyword anywhere in the description or the part number (a column with
+    both in lower case, a line break between them)."""
+    table = {kw: i for i, kws in enumerate(deciding_keywords([row.keywords for row in catalog])) for kw in kws}
+    return F.expr(first_rank(mpn_and_desc, table)) if table else F.lit(None).cast("int")
 
 
 def exact_row(supplier: Column, catalog: Sequence[CatalogRow]) -> Column:
@@ -78,12 +76,18 @@ def exact_row(supplier: Column, catalog: Sequence[CatalogRow]) -> Column:
     return lookup(F.lower(supplier), _first_by(catalog, lambda r: r.manufacturer.lower()))
 
 
-def fuzzy_row(supplier: Column, catalog: Sequence[CatalogRow]) -> Column:
-    """Step 4b: the most similar manufacturer, if similar enough."""
+def with_fuzzy_row(
+    df: DataFrame, supplier: Column, out: str, catalog: Sequence[CatalogRow] = rules.CATALOG
+) -> DataFrame:
+    """Step 4b: adds the row of the most similar manufacturer, NULL if none is similar enough."""
+    keep = df.columns
     first = _first_by(catalog, lambda r: r.manufacturer)
-    names = list(first)
-    hit = best_match(supplier, names, rules.FUZZY_FLOOR)
-    return F.get(literal_array(list(first.values())), hit)
+    df = layer(df, {"_z_sorted": token_sort(supplier)})
+    df = layer(df, {"_z_chars": F.split(F.col("_z_sorted"), "")})
+    df = layer(df, {"_z_best": best_match("_z_sorted", "_z_chars", list(first), rules.FUZZY_FLOOR)})
+    best = F.col("_z_best")
+    hit = F.when(best["sim"] >= rules.FUZZY_FLOOR, -best["rank"])
+    return df.select(*keep, F.get(literal_array(list(first.values())), hit).alias(out))
 
 
 def resolve(
@@ -107,14 +111,17 @@ def resolve(
         },
     )
     sup, brd, dsc, num = (F.col(c) for c in ("_r_sup", "_r_brand", "_r_desc", "_r_mpn"))
-    row = F.coalesce(
+    df = layer(df, {"_r_both": F.concat(dsc, F.lit("\n"), F.lower(num))})
+    known = F.coalesce(
         alias_row(brd, catalog),
         distributor_row(sup, num, dsc, catalog),
-        keyword_row(num, dsc, catalog),
+        keyword_row("_r_both", catalog),
         exact_row(sup, catalog),
-        fuzzy_row(sup, catalog),
     )
-    df = layer(df, {"_r_row": row})
+    df = layer(df, {"_r_known": known})
+    # only what is still open is sorted, split and compared
+    df = with_fuzzy_row(df, F.when(F.col("_r_known").isNull(), sup), "_r_fuzzy", catalog)
+    df = layer(df, {"_r_row": F.coalesce(F.col("_r_known"), F.col("_r_fuzzy"))})
     pos = F.col("_r_row")
     return df.select(
         *keep,

@@ -8,18 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuforge import rules
-from skuforge.functions.text import has_any, ladder, literal_array, text
+from skuforge.functions.text import first_rank, literal_array, text
 from skuforge.operators.resolve import deciding_keywords
 from skuforge.operators.stages import layer
 from skuforge.rules import TaxonomyRule
 
 
-def rule_position(low: Column, taxonomy: Sequence[TaxonomyRule] = rules.TAXONOMY) -> Column:
+def rule_position(low: str, taxonomy: Sequence[TaxonomyRule] = rules.TAXONOMY) -> Column:
     """Position of the first rule with a keyword anywhere in the lower-case text, else the
-    position behind the last rule. A chain of byte searches that stops at the first hit."""
-    kept = deciding_keywords([r.keywords for r in taxonomy])
-    cases = [(has_any(low, kws), i) for i, kws in enumerate(kept) if kws]
-    return ladder(cases, len(taxonomy))
+    position behind the last rule."""
+    table = {kw: i for i, kws in enumerate(deciding_keywords([r.keywords for r in taxonomy])) for kw in kws}
+    return F.coalesce(F.expr(first_rank(low, table)), F.lit(len(taxonomy)))
 
 
 def classify(
@@ -34,7 +33,7 @@ def classify(
     keep = df.columns
     low = F.lower(F.concat(text(desc), F.lit(" "), text(mpn), F.lit(" "), text(manufacturer)))
     df = layer(df, {"_t_low": low})
-    df = layer(df, {"_t_pos": rule_position(F.col("_t_low"), taxonomy)})
+    df = layer(df, {"_t_pos": F.when(F.col("_t_low").isNotNull(), rule_position("_t_low", taxonomy))})
     leaves = [*taxonomy, fallback]
     pos = F.col("_t_pos")
     return df.select(
