@@ -19,6 +19,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skuforge.functions.text import sql_text, squeeze, text
 
@@ -91,7 +92,7 @@ def _indel_ratio(a: str, b: str) -> float:
     return (1.0 - (total - 2 * lcs) / total) * 100
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _token_sort_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_indel_ratio(_sorted_tokens(x), _sorted_tokens(y)) for x, y in zip(a, b)])
 

@@ -11,7 +11,7 @@ from skuforge import rules
 from skuforge.functions.text import clean_desc, clean_placeholder, clean_supplier, distinct_filled, first_filled, strip, text
 from skuforge.functions.units import std_dimensions
 from skuforge.operators.resolve import resolve
-from skuforge.operators.stages import layer
+from skuforge.operators.stages import layer, sealed
 
 NORMALIZED = [
     "CLEAN_DESC", "MANUFACTURER_NAME", "BRAND_NAME", "MANUFACTURER_PART_NUMBER",
@@ -19,7 +19,7 @@ NORMALIZED = [
 ]
 
 
-def pick_brand(df: DataFrame) -> Column:
+def pick_brand() -> Column:
     """First brand column with any text; placeholders are sorted out only afterwards, so a
     placeholder in an earlier column hides a brand in a later one."""
     return clean_placeholder(first_filled(F.col("Unilog_Brand"), F.col("E1_Brand"), F.col("DIB_Brand")))
@@ -39,7 +39,7 @@ def normalize(df: DataFrame, catalog: Sequence[rules.CatalogRow] = rules.CATALOG
             "CLEAN_DESC": clean_desc(F.col("Part_Desc")),
             "MANUFACTURER_PART_NUMBER": strip(text(F.col("Mfg_Part_Num"))),
             "_n_sup": clean_supplier(F.col("Part_Manuf")),
-            "_n_brand": pick_brand(df),
+            "_n_brand": pick_brand(),
         },
     )
     df = resolve(
@@ -48,4 +48,4 @@ def normalize(df: DataFrame, catalog: Sequence[rules.CatalogRow] = rules.CATALOG
     df = layer(
         df, {"STANDARDIZED_DIMENSIONS": std_dimensions(F.col("CLEAN_DESC")), "STAGE1_STATUS": F.lit("NORMALIZED")}
     )
-    return df.select(*keep, *NORMALIZED)
+    return sealed(df.select(*keep, *NORMALIZED), "normalize")

@@ -18,7 +18,7 @@ from skuforge.operators.describe import DESCRIPTIONS, brand_context, describe, f
 from skuforge.operators.normalize import NORMALIZED, missing_fields, normalize
 from skuforge.operators.provenance import provenance_urls
 from skuforge.operators.quality import confidence, grade
-from skuforge.operators.stages import layer
+from skuforge.operators.stages import layer, sealed
 from skuforge.operators.taxonomy import classify
 
 C = F.col
@@ -30,10 +30,7 @@ RECORD = [
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Session settings the pipeline likes. Wide projections compile to methods that the JVM will
-    not optimise when whole-stage code generation puts them into one piece; with this limit Spark
-    splits them into small methods instead."""
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    """Session settings the pipeline relies on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
@@ -89,7 +86,7 @@ def enrich(df: DataFrame, keep: Sequence[str] | None = None, when: Column | None
     out = describe(out)
     out = confidence(out, C("part_desc_raw"))
     out = provenance_urls(out, C("manufacturer_name"), C("mfg_part_num"), C("brand_name"))
-    return out.select(*keep, *RECORD)
+    return sealed(out.select(*keep, *RECORD), "enrich")
 
 
 def run(
@@ -107,7 +104,7 @@ def run(
     df = enrich(df, keep=[row_id, "raw", "normalized", "missing"], when=ok)
     df = grade(df, C("missing"))
     record = F.when(F.size(C("missing")) == 0, F.struct(*RECORD))
-    return df.select(
+    out = df.select(
         C(row_id).alias("row_id"),
         "status",
         C("raw")["Mfg_Part_Num"].alias("mpn"),
@@ -116,6 +113,7 @@ def run(
         F.when((F.size(C("missing")) > 0) | C("error").isNotNull(), 0.0).otherwise(C("confidence_score")).alias("confidence"),
         "raw", "normalized", record.alias("enriched"), "validation", "review", "error",
     )
+    return sealed(out, "run")
 
 
 __all__ = ["RECORD", "SCALARS", "classified", "coalesce_inputs", "enrich", "extracted", "run", "tune"]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuforge import rules
 from skuforge.operators.delivery import check_headers, deliverable, to_delivery
 from skuforge.plans.pipeline import run
+from skuforge.plans.results import written
 from skuforge.sources.feed import read_csv, read_feed, with_row_ids
 
 BOM = "\ufeff"
@@ -34,9 +34,10 @@ def read_delivery(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feed_to_delivery(spark: SparkSession, source: str, target: str, **options) -> None:
-    """Feed file to delivery file; rows without an enriched record are left out."""
-    feed = with_row_ids(read_feed(spark, source, **options))
-    write_delivery(to_delivery(deliverable(run(feed))), target)
+    """Feed file to delivery file; rows without an enriched record are left out. The results are
+    written once in between, so that the 252 columns are cut from finished records."""
+    results = written(run(with_row_ids(read_feed(spark, source, **options))), "results")
+    write_delivery(to_delivery(deliverable(results)), target)
 
 
-__all__ = ["feed_to_delivery", "read_delivery", "rules", "write_delivery"]
+__all__ = ["feed_to_delivery", "read_delivery", "write_delivery"]

@@ -81,6 +81,7 @@ def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     Each partition counts its own rows; the counts (one small row per partition) give the offset
     of every partition. The scan runs twice, the data is never shuffled.
     """
+    df = df.drop(name)
     marked = df.withColumn("_id", F.monotonically_increasing_id())
     marked = marked.withColumn("_part", F.shiftright("_id", 33)).withColumn("_pos", C("_id").bitwiseAND((1 << 33) - 1))
     counts = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
