@@ -13,7 +13,6 @@ list built once per row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from skuforge import rules
 from skuforge.functions.text import (
     distinct_filled, find, find_or_null, first_filled, first_token, groups, has_any, has_unit, has_word, ladder, leaf, lookup,
-    matches, strip, text, unit_list, word_list,
+    matches, sql_text, strip, text, unit_list, word_list,
 )
 from skuforge.functions.units import NUM, fraction_to_double, peek_uom, squash
 from skuforge.operators.describe import LABELS
@@ -376,39 +375,37 @@ def facts() -> dict[str, Column]:
         "a_install": only(F.lower(C("k_category")).contains("dishwasher"), "Built-In"),
         "a_glass": only(C("k_glazed") & matches(low, r"low[\s-]?e", needs=["low"]), "Low-E"),
         "a_argon": only(C("k_glazed") & (said("argon") | word("arg")), "Argon"),
-        "a_openhead": only(said("open head"), "Open Head"),
+        "a_openhead": only(
+            said("open head") & ~said("friction ring", "pin detent", "interchangeable anvil"), "Open Head"
+        ),
     }
 
 
 # --------------------------------------------------------------------------------------------- slots
+class Sql(str):
+    """A label or unit that depends on the row, as SQL text."""
+
+
 @dataclass(frozen=True)
 class Slot:
-    """One attribute of the ordered output: rule id, label, column with the value, unit. A label
-    or unit that depends on the row is a function that returns a Column."""
+    """One attribute of the ordered output: rule id, label, column with the value, unit."""
 
     rule: str
-    label: str | Callable[[], Column]
+    label: str
     value: str
-    uom: str | Callable[[], Column] = ""
-
-    def struct(self) -> Column:
-        label, uom = (x() if callable(x) else F.lit(x) for x in (self.label, self.uom))
-        filled = text(C(self.value)) != ""
-        return F.when(filled, F.struct(label.alias("label"), C(self.value).alias("value"), uom.alias("uom")))
-
+    uom: str = ""
 
-def _col(name: str) -> Callable[[], Column]:
-    return lambda: C(name)
+    def struct(self) -> str:
+        label, uom = (x if isinstance(x, Sql) else sql_text(x) for x in (self.label, self.uom))
+        fields = f"named_struct('label', {label}, 'value', {self.value}, 'uom', {uom})"
+        return f"case when {self.value} <> '' then {fields} end"
 
 
-def _either(flag: str, yes: str, no: str) -> Callable[[], Column]:
-    return lambda: F.when(C(flag), yes).otherwise(no)
-
-
-def _second_size() -> Column:
-    return ladder([(C("d_disc") & C("d_small"), "Arbor / Shank Size"), (C("d_disc"), "Thickness")], "Length")
+def _either(flag: str, yes: str, no: str) -> Sql:
+    return Sql(f"case when {flag} then '{yes}' else '{no}' end")
 
 
+_SECOND = "case when d_disc and d_small then 'Arbor / Shank Size' when d_disc then 'Thickness' else 'Length' end"
 SLOTS = [
     Slot("F1", "Series", "c_series"),
     Slot("F2", "Wattage Rating", "c_watt", "W"),
@@ -416,17 +413,17 @@ SLOTS = [
     Slot("F5", "Amperage Rating", "d_amp", "A"),
     Slot("F4", "Battery Capacity", "d_ah", "Ah"),
     Slot("F6", "Battery Group Size", "a_group"),
-    Slot("F7", "Color Temperature", "a_cct", lambda: F.when(C("c_kelvin") != "", "K").otherwise("")),
+    Slot("F7", "Color Temperature", "a_cct", Sql("case when c_kelvin <> '' then 'K' else '' end")),
     Slot("F8", "Bulb Base / Shape", "a_bulb"),
     Slot("F9", "Sound Level", "c_sound", "dBA"),
-    Slot("F10", "Diameter / Length", "d_l3", _col("d_l3u")),
-    Slot("F10", "Thickness", "d_t3", _col("d_t3u")),
-    Slot("F10", "Arbor / Shank Size", "d_a3", _col("d_a3u")),
+    Slot("F10", "Diameter / Length", "d_l3", Sql("d_l3u")),
+    Slot("F10", "Thickness", "d_t3", Sql("d_t3u")),
+    Slot("F10", "Arbor / Shank Size", "d_a3", Sql("d_a3u")),
     Slot("F11", "Thickness", "d_bt", "in"),
     Slot("F11", "Width", "d_bw", "in"),
-    Slot("F11", "Length", "d_bl", _col("d_blu")),
-    Slot("F12", _either("d_disc", "Diameter", "Width"), "d_w2", _col("d_w2u")),
-    Slot("F12", _second_size, "d_l2", _col("d_l2u")),
+    Slot("F11", "Length", "d_bl", Sql("d_blu")),
+    Slot("F12", _either("d_disc", "Diameter", "Width"), "d_w2", Sql("d_w2u")),
+    Slot("F12", Sql(_SECOND), "d_l2", Sql("d_l2u")),
     Slot("F13", "Length", "a_feet", "ft"),
     Slot("F14", "Arbor / Spindle Size", "a_spindle", "in"),
     Slot("F15", "Diameter / Size", "a_inch", "in"),
@@ -480,7 +477,7 @@ RULES = list(dict.fromkeys(slot.rule for slot in SLOTS))
 
 def slot_array(only: str | None = None) -> Column:
     """All slots in order, NULL where a rule does not apply; with `only`, those of one rule."""
-    return F.array(*[slot.struct() for slot in SLOTS if only is None or slot.rule == only])
+    return F.expr("array(" + ", ".join(slot.struct() for slot in SLOTS if only is None or slot.rule == only) + ")")
 
 
 def filled_slots(name: str = "_slots") -> Column:
@@ -505,15 +502,20 @@ def detected_features() -> Column:
 
 def dimensions() -> Column:
     """Sizes by meaning, whatever rule found them."""
-    disc, small = C("d_disc"), C("d_small")
-    return F.struct(
-        first_filled(C("d_l3"), F.when(disc, C("d_w2")), C("a_inch"), C("a_pipe")).alias("diameter"),
-        first_filled(C("d_t3"), C("d_bt"), F.when(disc & ~small, C("d_l2"))).alias("thickness"),
-        first_filled(C("d_a3"), F.when(disc & small, C("d_l2")), C("a_spindle"), C("d_arbor")).alias("arbor"),
-        first_filled(C("d_bw"), F.when(~disc, C("d_w2"))).alias("width"),
-        first_filled(C("d_bl"), F.when(~disc, C("d_l2")), C("a_feet")).alias("length"),
-        text(C("c_depth")).alias("depth_with_door_open"),
-    )
+    disc_width, disc_rest = "if(d_disc, d_w2, '')", "if(d_disc and {}, d_l2, '')"
+    sources = {
+        "diameter": ["d_l3", disc_width, "a_inch", "a_pipe"],
+        "thickness": ["d_t3", "d_bt", disc_rest.format("not d_small")],
+        "arbor": ["d_a3", disc_rest.format("d_small"), "a_spindle", "d_arbor"],
+        "width": ["d_bw", "if(d_disc, '', d_w2)"],
+        "length": ["d_bl", "if(d_disc, '', d_l2)", "a_feet"],
+        "depth_with_door_open": ["c_depth"],
+    }
+    fields = [
+        f"'{name}', coalesce({', '.join(f'nullif({x}, {empty})' for x in xs)}, {empty})"
+        for empty in ["''"] for name, xs in sources.items()
+    ]
+    return F.expr(f"named_struct({', '.join(fields)})")
 
 
 # Single facts that descriptions and features read, by output name.
@@ -527,22 +529,18 @@ SCALARS = {
 def label_values() -> Column:
     """The array describe.label_values() would compute from the attribute array, taken from the
     columns that are there already."""
-    fitting = C("k_fitting")
     late = {
-        "Voltage Rating": C("d_volt"), "Amperage Rating": C("d_amp"), "Battery Capacity": C("d_ah"),
-        "Battery Group Size": C("a_group"), "Fuel Type": C("a_fuel"),
-        "Power Source": first_filled(C("a_power"), C("a_mains")), "Color Temperature": C("a_cct"),
-        "Number of Wash Cycles": C("c_cycles"), "Pressure Class": C("a_press"), "Grit Grade": C("a_grit"),
-        "Connection Type 1": F.when(fitting, C("c_conn")), "Connection Type": F.when(~fitting, C("c_conn")),
-        "Thread Size": C("c_thread"), "Horsepower Rating": C("a_hp"), "Motor Type": C("a_motor"),
-        "Drive / Chuck Size": C("a_drive"), "Anvil / Retainer Type": C("a_anvil"),
-        "Tool Configuration": C("a_config"), "Laser Beam Color": C("a_beam"), "Beam Configuration": C("a_spots"),
-        "Package Quantity": C("c_pack"),
-        "Material": first_filled(C("a_deckmat"), F.when(~fitting, C("c_material"))),
-        "Color / Finish": first_filled(C("d_deckcolor"), C("c_finish")), "Mounting Type": C("c_mount"),
-        "Application": C("a_leaf"),
+        "Voltage Rating": "d_volt", "Amperage Rating": "d_amp", "Battery Capacity": "d_ah", "Battery Group Size": "a_group",
+        "Fuel Type": "a_fuel", "Power Source": "if(a_power <> '', a_power, a_mains)", "Color Temperature": "a_cct",
+        "Number of Wash Cycles": "c_cycles", "Pressure Class": "a_press", "Grit Grade": "a_grit",
+        "Connection Type 1": "if(k_fitting, c_conn, '')", "Connection Type": "if(k_fitting, '', c_conn)",
+        "Thread Size": "c_thread", "Horsepower Rating": "a_hp", "Motor Type": "a_motor", "Drive / Chuck Size": "a_drive",
+        "Anvil / Retainer Type": "a_anvil", "Tool Configuration": "a_config", "Laser Beam Color": "a_beam",
+        "Beam Configuration": "a_spots", "Package Quantity": "c_pack",
+        "Material": "if(a_deckmat <> '', a_deckmat, if(k_fitting, '', c_material))",
+        "Color / Finish": "if(d_deckcolor <> '', d_deckcolor, c_finish)", "Mounting Type": "c_mount", "Application": "a_leaf",
     }
-    return F.array(*[text(late[label]) for label in LABELS])
+    return F.expr("array(" + ", ".join(f"coalesce({late[label]}, '')" for label in LABELS) + ")")
 
 
 def with_rules(df: DataFrame, desc: Column, mpn: Column, manufacturer: Column) -> DataFrame:
