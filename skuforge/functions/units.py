@@ -119,8 +119,7 @@ def std_dimensions(c: Column) -> Column:
     """'12"x20mm' -> '12 in x 20 mm'. The text is cut at every x, as the contract wants it."""
     t = strip(text(c))
 
-    def part(p: Column) -> Column:
-        s = strip(p)
+    def part(s: Column) -> Column:
         return (
             F.when(s.endswith('"') | s.endswith("in"), F.concat(strip(F.rtrim(s, F.lit('"in'))), F.lit(" in")))
             .when(s.endswith("'") | s.endswith("ft"), F.concat(strip(F.rtrim(s, F.lit("'ft"))), F.lit(" ft")))
@@ -129,6 +128,7 @@ def std_dimensions(c: Column) -> Column:
             .otherwise(s)
         )
 
+    # the text is trimmed and the separator takes the blanks around it, so the parts are trimmed
     cut = F.split(t, UNICODE + r"\s*[xX]\s*")
     return F.when(t.contains("x") | t.contains("X"), F.array_join(F.transform(cut, part), " x ")).otherwise(t)
 

@@ -219,7 +219,7 @@ def derive() -> dict[str, Column]:
 
     u3, u2 = unit(z3, 1, "in"), unit(z2, 1, "in")
     disc = C("k_disc") & z2.isNotNull()
-    small = text_le(fraction_to_double(at(z2, 2)), 1.5)
+    small = F.when(disc, text_le(fraction_to_double(at(z2, 2)), 1.5)).otherwise(False)
     vah = C("c_vah") != ""
     arbor_label = z3.isNotNull() | (disc & small)
     return {

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuforge import rules
-from skuforge.functions.text import clean_desc, clean_placeholder, clean_supplier, distinct_filled, first_filled, strip, text
+from skuforge.functions.text import (
+    clean_placeholder, distinct_filled, drop_code, drop_remark, first_filled, plain_quotes, strip, text,
+)
 from skuforge.functions.units import std_dimensions
 from skuforge.operators.resolve import resolve
 from skuforge.operators.stages import layer, sealed
@@ -36,12 +38,11 @@ def normalize(df: DataFrame, catalog: Sequence[rules.CatalogRow] = rules.CATALOG
     df = layer(
         df,
         {
-            "CLEAN_DESC": clean_desc(F.col("Part_Desc")),
-            "MANUFACTURER_PART_NUMBER": strip(text(F.col("Mfg_Part_Num"))),
-            "_n_sup": clean_supplier(F.col("Part_Manuf")),
-            "_n_brand": pick_brand(),
+            "_n_desc": plain_quotes(F.col("Part_Desc")), "_n_raw": clean_placeholder(F.col("Part_Manuf")),
+            "MANUFACTURER_PART_NUMBER": strip(text(F.col("Mfg_Part_Num"))), "_n_brand": pick_brand(),
         },
     )
+    df = layer(df, {"CLEAN_DESC": drop_remark(F.col("_n_desc")), "_n_sup": drop_code(F.col("_n_raw"))})
     df = resolve(
         df, F.col("_n_sup"), F.col("CLEAN_DESC"), F.col("MANUFACTURER_PART_NUMBER"), F.col("_n_brand"), catalog
     )

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from skuforge import rules
 from skuforge.functions.similarity import best_match, token_sort
 from skuforge.functions.text import (
-    clean_desc, clean_placeholder, clean_supplier, first_rank, ladder, literal_array, lookup, no_marks, strip, text,
+    clean_placeholder, drop_code, drop_remark, first_rank, ladder, literal_array, lookup, no_marks, plain_quotes,
+    strip, text,
 )
 from skuforge.operators.stages import layer
 from skuforge.rules import CatalogRow
@@ -104,12 +105,13 @@ def resolve(
     df = layer(
         df,
         {
-            "_r_sup": clean_supplier(supplier),
-            "_r_brand": clean_placeholder(brand),
-            "_r_desc": F.lower(clean_desc(desc)),
-            "_r_mpn": F.upper(strip(text(mpn))),
+            "_r_raw": clean_placeholder(supplier), "_r_brand": clean_placeholder(brand),
+            "_r_quoted": plain_quotes(desc), "_r_mpn": F.upper(strip(text(mpn))),
         },
     )
+    df = layer(
+        df, {"_r_sup": drop_code(F.col("_r_raw")), "_r_desc": F.lower(drop_remark(F.col("_r_quoted")))}
+    )
     sup, brd, dsc, num = (F.col(c) for c in ("_r_sup", "_r_brand", "_r_desc", "_r_mpn"))
     df = layer(df, {"_r_both": F.concat(dsc, F.lit("\n"), F.lower(num))})
     known = F.coalesce(
