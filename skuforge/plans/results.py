@@ -15,9 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables; a session without one gets a folder of its own (tests)."""
+    """Folder for intermediate tables, from `spark.checkpoint.dir`.
+
+    A session of one machine without the setting (tests) gets a folder of its own; on a cluster a
+    machine-local folder would lose rows, so the setting is required there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="skuforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
