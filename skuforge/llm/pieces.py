@@ -156,8 +156,13 @@ class Lattices:
         self.log_z = total[self.first[:-1]]
         self.begin, self.end, self.ids, self.score = begin, end, ids, score
         self.share = score + total[end] - total[begin]
-        run = np.cumsum(np.exp(self.share))
-        self.reach = run - np.concatenate([np.zeros(1), run])[self.edge[begin]]
+        # cumulative shares, node by node: the same numbers in whatever batch a word stands
+        self.reach = np.exp(self.share)
+        at, stop = self.edge[nodes] + 1, self.edge[nodes + 1]
+        while len(at := at[on := at < stop]):
+            stop = stop[on]
+            self.reach[at] += self.reach[at - 1]
+            at = at + 1
         self.reach[self.edge[nodes + 1] - 1] = np.inf
         # best path: of each node the edge with the highest score, the longest piece on a tie
         win = np.flatnonzero(score + best[end] == best[begin])
@@ -271,8 +276,9 @@ def sample_batch(lat: Lattices, word: np.ndarray, first: np.ndarray, key: np.nda
         """Walk s holds from occurrence from_word of each text on, where the log probability so far is start."""
         walk = Walk(lat, word, own, 31 + 7 * s)
         lp = np.where(place >= from_word[doc], walk.log_p, 0.0)
-        run = np.cumsum(lp)
-        run -= np.repeat((run[first[:-1].clip(max=max(0, len(run) - 1))] - lp[first[:-1].clip(max=max(0, len(run) - 1))]) if len(run) else np.zeros(docs), sizes)
+        run = np.empty_like(lp)
+        for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
+            np.cumsum(lp[a:z], out=run[a:z])
         before = start[doc] + run - lp
         phi = np.where(place >= from_word[doc], before + left_over(walk.log_p), -np.inf)
         walks.append(walk)

@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -258,8 +259,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
 
     A null text has no words. Other columns of docs are not carried.
     """
+    spark = docs.sparkSession
     ranges = written(repeats(docs.select("doc_id", "text"), window), "repeat-ranges")
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(ranges, ["doc_id", "text_hash"], "left")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    row_key = F.xxhash64("doc_id", "text_hash")
+    touched = bitmap(spark, ranges.select(row_key.alias("name")), BITMAP_BITS)
+
+    @F.pandas_udf("boolean")
+    def marked(key: pd.Series) -> pd.Series:
+        return pd.Series(_in(touched.value, key.to_numpy().view(np.uint64)))
+
+    # texts without a repeat are not moved; the hint keeps one plan at every size
+    rows = rows.withColumn("marked", marked(row_key))
+    found = rows.where("marked").drop("marked").join(ranges.hint("merge"), ["doc_id", "text_hash"], "left").select("doc_id", "text", "ranges")
+    found = found.union(rows.where("not marked").select("doc_id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +286,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
-    return found.select("doc_id", "text", "ranges").mapInArrow(run, schema)
+    return found.mapInArrow(run, schema)
 
 
 def op2_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
