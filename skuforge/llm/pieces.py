@@ -40,7 +40,7 @@ SAMPLES = 2
 SEED = 7
 SPACE = "▁"
 UNITS = re.compile(r"[ \n][^ \n]*")
-CHUNK_CHARS = 3 << 20
+CHUNK_CHARS = 1 << 20
 _U = np.uint64
 
 
