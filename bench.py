@@ -14,7 +14,6 @@ import tempfile
 import time
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from skuforge.operators import delivery, kpis, serve, truth  # noqa: E402
@@ -60,7 +59,7 @@ def main() -> None:
     timed("delivery_row", lambda: noop(delivery.to_delivery(delivery.deliverable(results))))
     timed("review_queue", lambda: noop(serve.review_queue(results)))
     timed("results_page", lambda: serve.page(results, 3, 100, "review").collect())
-    labelled = truth_rows(results.where(F.col("row_id") % 7 == 0))
+    labelled = truth_rows(results)
     labelled.write.parquet(f"{folder}/truth")
     labelled = spark.read.parquet(f"{folder}/truth")
     timed("truth_benchmark", lambda: truth.truth_benchmark(results, labelled).collect())

@@ -42,7 +42,7 @@ def is_abrasive(category: str, low: str) -> Column:
 
 
 def is_fitting(category: str, low: str) -> Column:
-    return has_any(category, ["fitting", "valve", "faucet", "coupling"]) | has_any(low, rules.FITTING_WORDS)
+    return has_any(category, ["pipe fitting", "fitting", "valve", "faucet", "coupling"]) | has_any(low, rules.FITTING_WORDS)
 
 
 def is_fastener(category: str, low: str) -> Column:

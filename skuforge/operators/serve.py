@@ -69,9 +69,10 @@ def new_decision(df: DataFrame, action: Column | str, comment: Column | str = ""
 def apply_decisions(results: DataFrame, decisions: DataFrame) -> DataFrame:
     """Results with their latest decision. Approve, override and mark_reviewed clear the review
     flag for good; a reject leaves it as it is. `decisions` is append-only; its rows are merged
-    per result row before the join."""
-    latest = decisions.groupBy("row_id").agg(
-        F.max_by(F.struct("action", "comment", "at"), C("at")).alias("decision"),
+    per result row before the join. Rows with another action are no decisions; of decisions at the
+    same time the one whose action, then comment, sorts last counts."""
+    latest = decisions.where(C("action").isin(ACTIONS)).groupBy("row_id").agg(
+        F.max_by(F.struct("action", "comment", "at"), F.struct("at", "action", "comment")).alias("decision"),
         F.bool_or(C("action").isin(CLEARING)).alias("_cleared"),
     )
     review = C("review").withField("needs_review", C("review")["needs_review"] & ~F.coalesce(C("_cleared"), F.lit(False)))

@@ -61,7 +61,7 @@ def truth_benchmark(results: DataFrame, truth: DataFrame, order: str = "truth_id
     one = joined.agg(F.count(F.lit(1)).alias("matched_rows"), *counts)
     keys = truth.select(match_key(C("Mfg_Part_Num")).alias("k")).where(C("k") != "")
     total = keys.agg(F.count_distinct("k").alias("ground_truth_rows"))
-    one = one.join(total)  # two one-row frames
+    one = one.withColumn("ground_truth_rows", total.scalar())
     n = range(len(rules.SCORED_FIELDS))
     scored = sum((F.when(C(f"n{i}") > 0, 1).otherwise(0) for i in n), F.lit(0))
     rates = sum((F.when(C(f"n{i}") > 0, pct(C(f"m{i}"), C(f"n{i}"))).otherwise(0.0) for i in n), F.lit(0.0))

@@ -133,16 +133,17 @@ def truth(spark, sf_dir):
 
 
 def truth_rows(rows: DataFrame) -> DataFrame:
-    """Labelled rows for every fifth part: part number in lower case, manufacturer in upper case,
-    brand without marks; every 25th part twice, with different values."""
-    base = rows.where((C("enriched").isNotNull()) & (C("row_id") % 5 == 0))
+    """A labelled row for every part: part number in lower case, manufacturer in upper case, brand
+    without marks. Every fifth part number matches, the others carry a suffix; every 25th part is
+    there twice, with different values."""
+    base = rows.where(C("enriched").isNotNull())
     copies = F.when(C("row_id") % 25 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     base = base.select("*", F.explode(copies).alias("copy"))
     e = C("enriched")
     second = C("copy") == 1
     return base.select(
         (C("row_id") * 10 + C("copy")).alias("truth_id"),
-        F.lower(e["mfg_part_num"]).alias("Mfg_Part_Num"),
+        F.lower(F.concat(e["mfg_part_num"], F.when(C("row_id") % 5 == 0, "").otherwise("-X"))).alias("Mfg_Part_Num"),
         F.upper(e["mfg_part_num"]).alias("MANUFACTURER_PART_NUMBER"),
         F.upper(e["manufacturer_name"]).alias("MANUFACTURER_NAME"),
         F.when(second, "Other Brand").otherwise(tx.no_marks(e["brand_name"])).alias("BRAND_NAME"),
@@ -157,11 +158,11 @@ def truth_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-TRUTH = f"""truth as (select row_id * 10 + copy as truth_id, lower(m1) as t_mpn, upper(m1) as t_mpn2, upper(mfg) as t_mfg,
+TRUTH = f"""truth as (select row_id * 10 + copy as truth_id, lower(m1 || case when row_id % 5 = 0 then '' else '-X' end) as t_mpn, upper(m1) as t_mpn2, upper(mfg) as t_mfg,
 case when copy = 1 then 'Other Brand' else {o.marks('bctx')} end as t_brand, replace(classpath, ' > ', '>') as t_classpath, unspsc as t_unspsc,
 case when row_id % 2 = 0 then product_name else '' end as t_product, invoice_desc as t_invoice,
 case when copy = 1 then '' else mobile_desc end as t_mobile, short_desc || ' New' as t_short, '' as t_long, lower(retail_desc) as t_retail
-from (select *, unnest(case when row_id % 25 = 0 then [0, 1] else [0] end) as copy from res where ok and row_id % 5 = 0))"""
+from (select *, unnest(case when row_id % 25 = 0 then [0, 1] else [0] end) as copy from res where ok))"""
 
 
 def res_truth(final: str, more: str = "") -> str:

@@ -319,7 +319,7 @@ kW | kw; kilowatt; kilowatts
 kW-hr | kw-hr; kwh; kw/hr; kw - hr; kwhr
 Hz | hz; hertz
 hp | hp; horsepower
-dBA | dba; db; decibel; decibels
+dBA | dba; db; decibel; decibels; dBA
 lb | lb; lbs; lb.; pound; pounds
 oz | oz; oz.; ounce; ounces
 kg | kg; kilogram; kilograms
@@ -407,9 +407,11 @@ PIPE_NOUNS = [
     "cross", "reducer", "street", "valve", "mpt", "fpt", "fnpt", "mnpt", "npt", "cxc", "fxf",
     "mxm", "mxf", "fxm",
 ]
-FASTENER_WORDS = ["screw", "bolt", "nut", "anchor", "lag", "threaded", "fastener", "hex cap"]
+FASTENER_WORDS = [
+    "screw", "bolt", "nut", "anchor", "lag", "threaded", "fastener", "hex cap", "deck screw", "drywall screw",
+]
 ABRASIVE_WORDS = [
-    "cut-off", "cut off", "grind", "sand", "disc", "wheel", "abrasive", "cubitron", "stikit",
+    "cut-off", "cut off", "grind", "sanding", "sand", "disc", "wheel", "abrasive", "cubitron", "stikit",
     "hiolit", "steel demon", "speed demon", "flap", "abrasanet", "abranet",
 ]
 FITTING_WORDS = [
