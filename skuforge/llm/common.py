@@ -17,7 +17,7 @@ from skuforge.plans.results import written
 #: Rows of an Arrow batch: bounds what one Python worker holds, whatever the mean text length is.
 BATCH_ROWS = 1000
 #: Bytes of text that numpy works on at a time inside a batch.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

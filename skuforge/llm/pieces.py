@@ -135,8 +135,10 @@ class Lattices:
         end = np.concatenate([f[1] for f in reversed(found)])
         ids = np.concatenate([f[2] for f in reversed(found)])
         score = np.concatenate([p.log_p[p.byte[0]] * length[number] if len(alone) else np.zeros(0), *(p.log_p[f[2]] for f in reversed(found[:-1]))])
+        del found, start, at, here
         order = np.argsort(begin, kind="stable")  # of each node the longest piece first, byte pieces before all
         begin, end, ids, score = begin[order], end[order], ids[order], score[order]
+        del order
         self.edge = np.searchsorted(begin, np.arange(n + 1))
         # backward sums and maxima, from the last character of all words on
         total, best = np.zeros(n), np.zeros(n)
