@@ -40,6 +40,7 @@ SAMPLES = 2
 SEED = 7
 SPACE = "▁"
 UNITS = re.compile(r"[ \n][^ \n]*")
+#: Characters whose lattices and walks are held at a time.
 CHUNK_CHARS = 1 << 20
 _U = np.uint64
 
@@ -431,7 +432,7 @@ def _runner(k: int, path: str, short: bool):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             begin, held = 0, 0
             for j in range(len(texts) + 1):
-                if j < len(texts) and (begin == j or held + len(texts[j]) <= 1 << 22):
+                if j < len(texts) and (begin == j or held + len(texts[j]) <= CHUNK_CHARS):
                     held += len(texts[j])
                     continue
                 if begin == j:
