@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,14 +87,28 @@ def row_gate(delivery: DataFrame) -> DataFrame:
     )
 
 
-def export_status(results: DataFrame) -> DataFrame:
-    """One row: validity, number of warnings, deliverable rows, rows that need review. The rows
-    behind the warnings are listed by warnings_of()."""
-    warned = F.when(C("enriched").isNotNull(), F.size(C("validation")["export_warnings"])).otherwise(0)
-    return results.agg(
-        F.lit(len(rules.DELIVERY_COLUMNS)).cast("bigint").alias("delivery_columns"),
-        F.lit(True).alias("valid"),
-        F.coalesce(F.sum(warned), F.lit(0)).cast("bigint").alias("warning_count"),
-        F.count_if(C("enriched").isNotNull()).alias("row_count"),
+def gate_errors(headers: Sequence[str], null_cells: Column) -> Column:
+    """Array of the texts of what breaks the contract; empty for a valid delivery."""
+    found = [F.lit(e) for e in header_errors(headers)]
+    found.append(F.when(null_cells > 0, F.concat(null_cells.cast("string"), F.lit(" NULL cells"))))
+    return F.filter(F.array(*found), lambda e: e.isNotNull())
+
+
+def export_status(results: DataFrame, map_row: Callable[..., DataFrame] = to_delivery) -> DataFrame:
+    """One row: validity with the texts of what breaks the contract, number of warnings, deliverable
+    rows, rows that need review. The rows behind the warnings are listed by warnings_of()."""
+    keep = ["enriched", "validation", "review"]
+    rows = map_row(results, keep=keep)
+    headers = [c for c in rows.columns if c not in keep]
+    ready = C("enriched").isNotNull()
+    nulls = sum((C(f"`{c}`").isNull().cast("bigint") for c in headers), F.lit(0).cast("bigint"))
+    figures = rows.agg(
+        F.coalesce(F.sum(F.when(ready, nulls)), F.lit(0)).cast("bigint").alias("_nulls"),
+        F.coalesce(F.sum(F.when(ready, F.size(C("validation")["export_warnings"]))), F.lit(0)).cast("bigint").alias("warning_count"),
+        F.count_if(ready).alias("row_count"),
         F.count_if(C("review")["needs_review"]).alias("rows_needing_review"),
+    ).withColumn("errors", gate_errors(headers, C("_nulls")))
+    return figures.select(
+        F.lit(len(headers)).cast("bigint").alias("delivery_columns"), (F.size("errors") == 0).alias("valid"), "errors",
+        "warning_count", "row_count", "rows_needing_review",
     )

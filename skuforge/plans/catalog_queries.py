@@ -175,15 +175,25 @@ FEED_TEXT = rules.FEED_COLUMNS
 
 @query("scan_feed", o.with_stages("feed", "select row_id, " + ", ".join(f'"{c}"' for c in FEED_TEXT) + " from feed"))
 def scan_feed(spark, sf_dir):
-    """Feed written as CSV and read back with the text-only reader."""
-    path = f"{shared_folder(spark)}/skuforge/feed-csv-{sf_dir.strip('/').replace('/', '-')}"
-    source = feed(spark, sf_dir)
-    source.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option(
-        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    rows = fd.read_feed(spark, path)
+    """Feed files of two column orders, read back by name."""
+    rows = fd.read_feed(spark, feed_files(spark, sf_dir))
     return rows.select(C("row_id").cast("bigint").alias("row_id"), *[C(f"`{c}`") for c in FEED_TEXT])
 
 
+def write_feed(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").option("header", True).option("escape", '"').option("emptyValue", "").option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def feed_files(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder with the feed as CSV; the files of every other row have their columns the other way round."""
+    path = f"{shared_folder(spark)}/skuforge/feed-csv-{uuid.uuid4().hex}"
+    source = feed(spark, sf_dir)
+    for k, columns in enumerate((source.columns, source.columns[::-1])):
+        write_feed(source.where(C("row_id") % 2 == k).select(*[C(f"`{c}`") for c in columns]), path)
+    return path
+
+
 @query("check_columns", "select count(*) as rows_checked, '' as missing from part")
 def check_columns(spark, sf_dir):
     rows = feed(spark, sf_dir)
@@ -199,7 +209,7 @@ def duplicate_headers(spark, sf_dir):
 
 @query("scan_truth", res_truth("select truth_id, t_mpn as mpn, t_brand as brand, t_classpath as classpath from truth"))
 def scan_truth(spark, sf_dir):
-    path = f"{shared_folder(spark)}/skuforge/truth-csv-{sf_dir.strip('/').replace('/', '-')}"
+    path = f"{shared_folder(spark)}/skuforge/truth-csv-{uuid.uuid4().hex}"
     truth(spark, sf_dir).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
     rows = fd.read_csv(spark, path)
     return rows.select(
@@ -208,12 +218,15 @@ def scan_truth(spark, sf_dir):
     )
 
 
-@query("row_ids", "select 1::bigint as lowest, count(*) as highest, count(*) as distinct_ids from part")
+@query("row_ids", "select row_number() over (order by p_partkey) as line, (p_partkey + 1)::bigint as row_id from part")
 def row_ids(spark, sf_dir):
-    rows = fd.with_row_ids(feed(spark, sf_dir).drop("row_id"))
-    return rows.agg(
-        F.min("row_id").alias("lowest"), F.max("row_id").alias("highest"), F.count_distinct("row_id").alias("distinct_ids")
-    )
+    """Lines of several files of unequal size (few rows in the first folder), numbered in input order."""
+    base = f"{shared_folder(spark)}/skuforge/feed-parts-{uuid.uuid4().hex}"
+    rows = feed(spark, sf_dir)
+    for folder, part in (("0-few", C("row_id") <= 20), ("1-rest", C("row_id") > 20)):
+        write_feed(rows.where(part).repartitionByRange(3, "row_id").sortWithinPartitions("row_id"), f"{base}/{folder}")
+    numbered = fd.with_row_ids(fd.read_feed(spark, f"{base}/*", positions=True), "line")
+    return numbered.select("line", C("row_id").cast("bigint").alias("row_id"))
 
 
 ENRICHED = ["manufacturer_name", "brand_name", "series", "classpath", "unspsc", "product_name", *ds.DESCRIPTIONS, "mfr_url"]
@@ -302,10 +315,8 @@ def write_delivery(spark, sf_dir):
 @query("feed_to_delivery", _BACK_SQL)
 def feed_to_delivery(spark, sf_dir):
     """Feed CSV to delivery CSV in one call."""
-    scan_feed(spark, sf_dir)
-    name = sf_dir.strip("/").replace("/", "-")
-    source, target = f"{shared_folder(spark)}/skuforge/feed-csv-{name}", _written_delivery(spark, sf_dir, "delivery2")
-    delivery_file.feed_to_delivery(spark, source, target)
+    target = _written_delivery(spark, sf_dir, "delivery2")
+    delivery_file.feed_to_delivery(spark, feed_files(spark, sf_dir), target)
     return delivery_file.read_delivery(spark, target).select(*[C(f"`{c}`") for c in _BACK])
 
 
@@ -715,9 +726,9 @@ def deliverable(spark, sf_dir):
     return dl.deliverable(results(spark, sf_dir)).select("row_id", "status")
 
 
-@query("export_status", res("select 252::bigint as delivery_columns, true as valid, 0::bigint as warning_count, count(*) filter (ok) as row_count, count(*) filter (len(reasons) > 0) as rows_needing_review from res"))
+@query("export_status", res("select 252::bigint as delivery_columns, true as valid, '' as errors, 0::bigint as warning_count, count(*) filter (ok) as row_count, count(*) filter (len(reasons) > 0) as rows_needing_review from res"))
 def export_status(spark, sf_dir):
-    return dl.export_status(results(spark, sf_dir))
+    return dl.export_status(results(spark, sf_dir)).withColumn("errors", F.array_join("errors", "; "))
 
 
 # ------------------------------------------------------------------------------------------ kpis

@@ -124,82 +124,81 @@ def _taxonomy(text: str) -> list[TaxonomyRule]:
 
 
 # Product | UNSPSC | classpath | keywords. Keywords match anywhere in the text and
-# the first rule with a hit wins, so a keyword that contains another keyword of the same or of an
-# earlier rule can never decide; only deciding keywords are listed.
+# the first rule with a hit wins; keywords that cannot decide in the given order leave the plan.
 TAXONOMY = _taxonomy("""
-Laser Level | 27111800 | Test & Measurement > Measuring & Layout Tools > Laser Levels & Line Lasers | laser; cross line; plumb spots; 3 spot; 5 spot
+Laser Level | 27111800 | Test & Measurement > Measuring & Layout Tools > Laser Levels & Line Lasers | cross line laser; line laser; laser - green; laser green; cross line; laser level; plumb spots; 3 spot; 5 spot; laser
 Measuring & Layout Tool | 27111800 | Hand Tools > Measuring & Layout Tools > Squares, Calipers & Chalk Lines | raftersquare; rafter - square; rafter square; bigcal; caliper; chalk & reel; chalk reel; chalk line
-Voltage Detector | 41113600 | Test & Measurement > Electrical Testing > Voltage Detectors & Meters | detector; voltage tester
-Impact Driver | 27112713 | Power Tools > Drills & Drivers > Impact Drivers | hydraulic driver; surge kit; autofeed
-Impact Wrench | 27112700 | Power Tools > Fastening Tools > Impact Wrenches | impact; stubby
+Voltage Detector | 41113600 | Test & Measurement > Electrical Testing > Voltage Detectors & Meters | voltage detector; voltage tester; detector
+Impact Driver | 27112713 | Power Tools > Drills & Drivers > Impact Drivers | hydraulic driver; surge kit; screwdriver - autofeed; autofeed
+Impact Wrench | 27112700 | Power Tools > Fastening Tools > Impact Wrenches | impact wrench; impact - wrench; angle impact; stubby; impact - bare tool; impact
 Power Ratchet | 27112700 | Power Tools > Fastening Tools > Cordless & Electric Ratchets | rachet; ratchet
-Power Sander | 27112700 | Power Tools > Woodworking & Metalworking Tools > Power Sanders & Polishers | sander; polisher; band file; deos
-Woodworking Router | 27112700 | Power Tools > Woodworking Tools > Routers & Joiners | router
+Power Sander | 27112700 | Power Tools > Woodworking & Metalworking Tools > Power Sanders & Polishers | sander; polisher; band file; spindle sander; deos663xcv; deos
+Woodworking Router | 27112700 | Power Tools > Woodworking Tools > Routers & Joiners | router; plunge - router; plunge router
 Woodworking Planer | 23101500 | Machinery & Equipment > Woodworking Machinery > Planers & Jointers | planer; planing machine; jointer
 Woodworking Shaper | 23101500 | Machinery & Equipment > Woodworking Machinery > Shapers & Feeders | shaper; stock feeder
 Rotary Tool | 27112700 | Power Tools > Rotary & Oscillating Tools > Rotary Tool Kits | rotary tool; dremel
-Power Trimmer | 27112700 | Outdoor Power Equipment > Trimmers & Edgers > String & Hedge Trimmers | trimmer
-Power Blower | 27112700 | Outdoor Power Equipment > Blowers & Vacuums > Leaf Blowers | blower
+Power Trimmer | 27112700 | Outdoor Power Equipment > Trimmers & Edgers > String & Hedge Trimmers | string trimmer; hedge trimmer; trimmer
+Power Blower | 27112700 | Outdoor Power Equipment > Blowers & Vacuums > Leaf Blowers | precision blower; blower
 Dust Extractor | 47121600 | Power Tools > Dust Collection & Vacuums > Dust Extractors & Filters | dust extractor; extractor-ct; paper bag; dust bag
-Jobsite Speaker | 52161512 | Jobsite Equipment > Jobsite Radios & Electronics > Jobsite Speakers | speaker
+Jobsite Speaker | 52161512 | Jobsite Equipment > Jobsite Radios & Electronics > Jobsite Speakers | jobsite speaker; bluetooth speaker; speaker
 Socket & Wrench Set | 27111700 | Hand Tools > Wrenches & Sockets > Socket & Wrench Sets | mechanics set; packout 15pc; packout 30pc; wrench set; universal joint
-Hand File | 27111900 | Hand Tools > Cutting & Shaping Tools > Files & Rasps | file
-Folding Knife | 27111500 | Hand Tools > Knives & Cutting Tools > Utility & Pocket Knives | knife
-Aviation Snips | 27111500 | Hand Tools > Snips & Shears > Aviation Snips | snip
+Hand File | 27111900 | Hand Tools > Cutting & Shaping Tools > Files & Rasps | file bstd; file bstd mill; file
+Folding Knife | 27111500 | Hand Tools > Knives & Cutting Tools > Utility & Pocket Knives | folding knife; pocket knife; knife
+Aviation Snips | 27111500 | Hand Tools > Snips & Shears > Aviation Snips | mini snip; snip red; snip green; snip
 Hex Key Set | 27111700 | Hand Tools > Hex & Torx Keys > Hex Key Sets | hex plus; hex key; allen key
 Hearing Protector | 46181900 | Safety & PPE > Hearing Protection > Ear Muffs | hearing protector; ear muff
-Tool Holster | 24112400 | Tool Storage & Belts > Holsters & Pouches > Tool Holsters | holster; tool pouch; tool belt
-Battery Starter Kit | 26111700 | Power Tools > Power Tool Accessories > Battery & Charger Kits | starter; 2pc kit; battery kit
-Power Tool Accessory | 27112800 | Power Tool Accessories > Cutting & Fastening Accessories > Specialty Tool Accessories | framing magazine; collated attach; screw setter; plug cutter; dado pro; hole dozer; fence; systainer abrasive set; iridium grip
-Chandelier | 39111500 | Lighting & Fans > Indoor Lighting > Ceiling Lights > Chandeliers | chand
-Pendant Light | 39111500 | Lighting & Fans > Indoor Lighting > Ceiling Lights > Pendant Lights | pendant
+Tool Holster | 24112400 | Tool Storage & Belts > Holsters & Pouches > Tool Holsters | phone holster; holster; tool pouch; tool belt
+Battery Starter Kit | 26111700 | Power Tools > Power Tool Accessories > Battery & Charger Kits | starter kit; flexvolt starter; 2pc kit; battery kit; starter
+Power Tool Accessory | 27112800 | Power Tool Accessories > Cutting & Fastening Accessories > Specialty Tool Accessories | framing magazine; collated attach; screw setter; plug cutter; dado pro; hole dozer; planer knives; xtender fence; fence; systainer abrasive set; iridium grip
+Chandelier | 39111500 | Lighting & Fans > Indoor Lighting > Ceiling Lights > Chandeliers | chandelier; chand lt; chand
+Pendant Light | 39111500 | Lighting & Fans > Indoor Lighting > Ceiling Lights > Pendant Lights | pendant lt; pendant
 Wall Light | 39111500 | Lighting & Fans > Indoor Lighting > Wall Lights > Sconces & Vanity | wall lt; wall light; sconce; bath light; vanity
 Downlight | 39111500 | Lighting & Fans > Indoor Lighting > Recessed Lighting > Downlights | down light; downlight; recessed
 Commercial Light Fixture | 39111500 | Lighting & Fans > Commercial Lighting > High Bay & Strip Fixtures | strip light; highbay; troffer; wrap light; shop light
 Ceiling Light | 39111500 | Lighting & Fans > Indoor Lighting > Ceiling Lights > Flush Mounts | ceiling lt; ceiling light; flush mount
 Outdoor Light | 39111600 | Lighting & Fans > Outdoor Lighting > Security & Flood Lights | motion lt; nano clip light; floodlight; lantern; spotlight; post lt
-Portable Work Light | 39111610 | Lighting & Fans > Portable & Work Lighting > Flashlights & Work Lights | flashlight; flashlt; flash light; headlight; work light; rechargeable; dcl183; slyde king
+Portable Work Light | 39111610 | Lighting & Fans > Portable & Work Lighting > Flashlights & Work Lights | flashlight; flashlt; flash light; headlight; work light; rechargeable; dcl183; slyde king; light - rechargeable
 LED Light Bulb | 39101628 | Lighting & Fans > Light Bulbs & Lamps > LED Bulbs | br30; a19; par38; par30; cand; led; lamp; bulb; 27k; 50k; 30k; phillips lighting; satco
-Ceiling Fan | 40101600 | Lighting & Fans > Ceiling Fans & Accessories > Ceiling Fans | fan
+Ceiling Fan | 40101600 | Lighting & Fans > Ceiling Fans & Accessories > Ceiling Fans | ceiling fan; fan; hunter fan
 Dishwasher | 52141505 | Appliances & Consumer Electronics > Kitchen Appliances > Built-In Dishwashers | dishwasher; dish washer
 Refrigerator | 52141501 | Appliances & Consumer Electronics > Kitchen Appliances > Refrigerators & Freezers | fridge; refrigerator; freezer
 Microwave Oven | 52141507 | Appliances & Consumer Electronics > Kitchen Appliances > Microwave Ovens | microwave; mocrowave; otr
-Cooking Appliance | 52141502 | Appliances & Consumer Electronics > Kitchen Appliances > Ranges, Ovens & Cooktops | cooktop; range; oven
+Cooking Appliance | 52141502 | Appliances & Consumer Electronics > Kitchen Appliances > Ranges, Ovens & Cooktops | wall oven; cooktop; range; oven
 Beverage Center | 52141501 | Appliances & Consumer Electronics > Kitchen Appliances > Specialty Refrigeration | beverage center; wine cooler
 Coffee & Espresso Maker | 52141526 | Appliances & Consumer Electronics > Small Kitchen Appliances > Coffee & Espresso Makers | coffee maker; espresso; café; cafe
-Laundry Appliance | 52141600 | Appliances & Consumer Electronics > Laundry Appliances > Washers & Dryers | washer; dryer; laundry
-Heating Component | 40101800 | HVAC & Refrigeration > Heating Equipment > Space Heaters & Kits | heater; hvac; thermostat
+Laundry Appliance | 52141600 | Appliances & Consumer Electronics > Laundry Appliances > Washers & Dryers | laundry center; washer; dryer; laundry
+Heating Component | 40101800 | HVAC & Refrigeration > Heating Equipment > Space Heaters & Kits | heater kit; heater; hvac; thermostat
 Load Center / Panel | 39121100 | Electrical > Distribution Equipment & Panels > Load Centers & Circuit Breakers | load center; load cntr; panelboard; breaker; square d
 Wiring Device | 39122200 | Electrical > Wiring Devices & Light Controls > Switches, Outlets & Dimmers | outlet; receptacle; dimmer; switch; decor plate; wallplate; box cover; leviton; lutron; cooper wiring
 Power Supply / Charger | 26111700 | Electrical > Power Supplies & Batteries > Battery Chargers & Power Packs | charger; power supply; power source; battery; jumpstart; pwr supply
 Heated Apparel | 46181500 | Safety & PPE > Workwear & Apparel > Heated Workwear | heated hoodie; heated gear; jacket; vest
 Electrical Supply | 39121400 | Electrical > Wire, Cable & Accessories > Electrical Tape & Wire | elect tape; vinyl elect; wire; cable; cord
-Cut-Off Disc | 31191600 | Abrasives > Cutting & Grinding Wheels > Cut-Off Wheels | cut off disc; metal cut off; cut off wheel; cut-off; cut and grind; cut n grind; grind disc
+Cut-Off Disc | 31191600 | Abrasives > Cutting & Grinding Wheels > Cut-Off Wheels | cut-off disc; cut off disc; cut-off wheel; metal cut off; cut off wheel; cut-off; cut and grind; cut n grind; grind disc
 Sanding Sponge | 31191500 | Abrasives > Sandpaper & Sanding Discs > Sanding Sponges & Blocks | sanding sponge; sanding block
 Sanding Disc / Belt | 31191500 | Abrasives > Sandpaper & Sanding Discs > Sanding Belts & Discs | sanding belt; sanding disc; stikit film; abranet; hiolit; sandpaper; gr pro
 Grinding Wheel | 31191600 | Abrasives > Cutting & Grinding Wheels > Grinding Wheels & Flap Discs | grinder; flap disc; grinding wheel
-Driver Bit | 27112800 | Power Tool Accessories > Screwdriver Bits & Fastener Drivers > Driver Bits | bit
-Power Saw | 27112700 | Power Tools > Saws > Circular & Table Saws | saw
-Cutting Blade | 27112800 | Power Tool Accessories > Saw Blades & Accessories > Circular & Planer Blades | blade
+Driver Bit | 27112800 | Power Tool Accessories > Screwdriver Bits & Fastener Drivers > Driver Bits | phillips bit; drive bit; drill bit; bit 5pk; bit
+Power Saw | 27112700 | Power Tools > Saws > Circular & Table Saws | circ saw; circular saw; table saw; miter saw; saw
+Cutting Blade | 27112800 | Power Tool Accessories > Saw Blades & Accessories > Circular & Planer Blades | planer blade; saw blade; blade 2pc; blade
 Grease Gun | 27112900 | Machinery & Equipment > Lubrication Equipment > Grease Guns | grease gun; lubrication
-Power Drill / Driver | 27112700 | Power Tools > Drills & Drivers > Cordless Drills & Drivers | drill
+Power Drill / Driver | 27112700 | Power Tools > Drills & Drivers > Cordless Drills & Drivers | drill driver; impact driver; drill; grinder 7-9
 Decking Board | 30103600 | Building Materials > Decking & Railing > Composite & PVC Decking | decking; fascia; trex; azek; timbertech
 Railing / Post Component | 30103600 | Building Materials > Decking & Railing > Railing & Post Systems | rail kit; post trim; post sleeve; support post; blank post; post cap; post wrap; gate; baluster
-Lumber & Siding | 30151600 | Building Materials > Lumber & Composites > Siding, Trim & Moulding | doug fir; lumber; cedar; soff; smart lap; smart pan; shiplap; fissured; osb; sub floor; blue plus; hardie; siding; shingle; duration trudef
-Window / Door System | 30171500 | Building Materials > Windows, Doors & Skylights > Residential Windows & Doors | skylt; skylight; patio dr; slider; hopper; window; door; inside cas; wrapped
+Lumber & Siding | 30151600 | Building Materials > Lumber & Composites > Siding, Trim & Moulding | doug fir; lumber; cedar; soffit; soff; smart lap; smart pan; shiplap; fissured; osb; sub floor; blue plus; hardieplank; hardie; siding; shingle; duration trudef
+Window / Door System | 30171500 | Building Materials > Windows, Doors & Skylights > Residential Windows & Doors | skylt; skylight; patio dr; slider; hopper; attic access door; window; door; inside cas; wrapped
 Building Envelope & Sheathing | 30151600 | Building Materials > Siding, Roofing & Sheathing > Weather Barriers & Siding | rainscreen; eaveguard; ice guard; sheathing
-Sealant / Weatherproofing | 31201500 | Building Materials > Weatherproofing & Sealants > Tapes & Mortars | mortar; emseal; protecto wrap; tape; sealant; threshold
+Sealant / Weatherproofing | 31201500 | Building Materials > Weatherproofing & Sealants > Tapes & Mortars | mortar; emseal; joist tape; protecto wrap; tape; sealant; threshold
 Metal Panel | 30151600 | Building Materials > Metal Roofing & Siding > Metal Panels | premier rib; metal panel
-Fastener / Nail | 31162000 | Hardware > Fasteners > Nails & Staples | nail; staple; senco; prebena
+Fastener / Nail | 31162000 | Hardware > Fasteners > Nails & Staples | nail; finish nail; staple; senco; prebena
 Tool Storage | 24112400 | Storage & Material Handling > Tool Storage > Tool Chests & Boxes | tool chest; organizer; tool box; storage
 Layout & Marking Tool | 27111800 | Hand Tools > Measuring & Layout Tools > Squares & Marking Tools | t-square; pencil; lead; wal-board; marking; layout
-Insulated Drinkware | 49121500 | Outdoor & Jobsite Equipment > Drinkware & Coolers > Insulated Bottles | bottle; tumbler; cooler
-Hardware Fitting | 31162400 | Hardware > Architectural & General Hardware > Brackets, Latches & Fasteners | latch; hanger; bracket; mason line
-Sink Faucet | 30181702 | Plumbing > Faucets & Fixtures > Kitchen & Bath Sink Faucets | faucet
+Insulated Drinkware | 49121500 | Outdoor & Jobsite Equipment > Drinkware & Coolers > Insulated Bottles | bottle - insulated; bottle; tumbler; cooler
+Hardware Fitting | 31162400 | Hardware > Architectural & General Hardware > Brackets, Latches & Fasteners | latch; hanger; bracket; adjust hanger; mason line; gravity latch
+Sink Faucet | 30181702 | Plumbing > Faucets & Fixtures > Kitchen & Bath Sink Faucets | faucet; sink faucet; lavatory faucet; kitchen faucet
 Pipe Fitting | 40141700 | Plumbing > Pipe, Tube & Hose Fittings > Pipe Fittings | cplg; coupling; fitting; elbow; tee; adapter; bushing; nipple; valve
-Fire & Safety Alarm | 46191500 | Safety & Security > Fire Protection & Alarms > Fire Extinguishers & Smoke Detectors | fire extinguisher; smoke alarm; co alarm; firewatch; first alert; driveway alert
-Safety Equipment | 46181500 | Safety & PPE > Eye, Hand & Body Protection > Safety Gear | eyewear; glasses; glove; mask; respirator; earplug; kneeling pad; safety
-Measurement Gauge | 41112400 | Test & Measurement > Pressure & Electrical Measurement > Gauges & Meters | tire pressure; gauge; meter
+Fire & Safety Alarm | 46191500 | Safety & Security > Fire Protection & Alarms > Fire Extinguishers & Smoke Detectors | fire extinguisher; smoke & co alarm; smoke alarm; co alarm; firewatch; first alert; driveway alert
+Safety Equipment | 46181500 | Safety & PPE > Eye, Hand & Body Protection > Safety Gear | eyewear; glasses; glove; mask; respirator; earplug; kneeling pad; safety; edge eyewear
+Measurement Gauge | 41112400 | Test & Measurement > Pressure & Electrical Measurement > Gauges & Meters | tire pressure; inflator gauge; gauge; meter; multimeter; caliper
 """)
 FALLBACK_RULE = TaxonomyRule("Hardware Component", "", "Industrial Supplies & MRO > General Hardware", ())
 GENERIC_MARK = "General Hardware"

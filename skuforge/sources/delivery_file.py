@@ -29,14 +29,13 @@ def write_delivery(delivery: DataFrame, path: str, single_file: bool = False) ->
 
 def read_delivery(spark: SparkSession, path: str) -> DataFrame:
     """Delivery rows as written."""
-    rows = read_csv(spark, path)
-    return rows.toDF(*[c.lstrip(BOM) for c in rows.columns])
+    return read_csv(spark, path)
 
 
 def feed_to_delivery(spark: SparkSession, source: str, target: str, **options) -> None:
     """Feed file to delivery file; rows without an enriched record are left out. The results are
     written once in between, so that the 252 columns are cut from finished records."""
-    results = written(run(with_row_ids(read_feed(spark, source, **options))), "results")
+    results = written(run(with_row_ids(read_feed(spark, source, positions=True, **options))), "results")
     write_delivery(to_delivery(deliverable(results)), target)
 
 
