@@ -50,7 +50,7 @@ _TITLES = "|".join(t for group in HONORIFICS.values() for t in group)
 #: type -> pattern; the first that matches at a place wins.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![\d+])\+?\d{0,3}[ -]?\(\d{2,4}\)[ -]?\d{3}[ -]?\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d+])\+\d{1,3}(?:[ -]\d{2,4}){3,4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -60,7 +60,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: No entity without one of these.
-HINT = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|[a-fA-F]{{32}}|(?:{_TITLES})\.? \p{{Lu}}"
 NUMBERS = ("phone", "ssn", "ip", "card")
 
 
@@ -151,6 +151,9 @@ def drawn(df: DataFrame, key: str) -> DataFrame:
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     email = F.concat(shaped(local, h), tail, F.lit("@"), domain)
     hexes = F.substr(F.concat(h, F.sha2(h, 256)), F.lit(1), F.length(e) + F.when(F.col("draw") < 3, 0).otherwise(8))
+    # in the case of the original; of mixed case, place by place
+    hexes = F.when(e == F.lower(e), hexes).when(e == F.upper(e), F.upper(hexes)).otherwise(F.array_join(F.transform(
+        F.split(hexes, ""), lambda c, i: F.when(F.substr(e, i + 1, F.lit(1)).rlike("[A-F]"), F.upper(c)).otherwise(c)), ""))
     iban = F.concat(F.substring(e, 1, 2), shaped(F.substr(e, F.lit(3)), h), F.upper(tail))
     title = F.regexp_extract(e, rf"^((?:{_TITLES})\.?) ", 1)
     given = F.substr(e, F.length(title) + 2)

@@ -287,6 +287,18 @@ def test_surrogates_are_consistent_distinct_and_keep_the_form(spark):
     assert "1.2.3.4 " not in got[5][0] and got[5][0].endswith("1.2.3.4.5")
 
 
+def test_secrets_of_either_case_go(spark):
+    lower, mixed = "9233a8ec0f" * 4, "9233A8ecfb" * 4
+    rows = [(1, f'token = "{lower}"'), (2, f'TOKEN = "{lower.upper()}"'), (3, f"key {mixed} end"), (4, "KEY " + "ABCDEF" * 6), (5, "A" * 31 + " " + "F" * 65 + " G" + "A" * 32)]
+    got = {r["doc_id"]: r for r in surrogates.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["n_entities"] for k in (1, 2, 3, 4, 5)] == [1, 1, 1, 1, 0] and got[5]["text"] == rows[4][1]
+    new = [got[1]["text"][9:-1], got[2]["text"][9:-1], got[3]["text"].split()[1], got[4]["text"][4:]]
+    assert [len(x) for x in new] == [40, 40, 40, 36] and all(int(x, 16) >= 0 for x in new)
+    assert len({x.lower() for x in [*new, lower, mixed, "ABCDEF" * 6]}) == 7
+    assert new[0] == new[0].lower() and new[1] == new[1].upper() and new[3] == new[3].upper()
+    assert all(c == c.upper() if o in "ABCDEF" else c == c.lower() for c, o in zip(new[2], mixed))
+
+
 def test_licences_known_unknown_and_empty(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     fitted = licences.model(docs)
