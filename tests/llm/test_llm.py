@@ -137,6 +137,45 @@ def test_tree_finds_every_pair_and_blocks_keep_links(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def brute_similar(texts):
+    """Of each text the first text of its component of Jaccard similarities >= 0.8 of five-word shingles."""
+    split = [(t or "").lower().split() for t in texts]
+    sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in split]
+    parent = np.arange(len(texts))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            shared = len(x & sets[j])
+            if 5 * shared >= 4 * (len(x) + len(sets[j]) - shared):
+                simhash.unite(parent, np.array([i]), np.array([j]))
+    return parent.tolist()
+
+
+def edited_copies():
+    r, texts = random.Random(12), [None, "", "one two", "One  two", prose(49, 1)]
+    for k in range(25):
+        base = prose(r.randrange(30, 400), f"base{k}").split()
+        for _ in range(4):
+            w = list(base)
+            for _ in range(r.randrange(len(w) // 16)):
+                w[r.randrange(len(w))] = "edit"
+            texts.append(" ".join(w))
+    return texts
+
+
+def test_near_stage_drops_edited_copies_and_no_other(spark):
+    import corpus_pipeline
+
+    texts = edited_copies()
+    first = brute_similar(texts)
+    fps = np.array([simhash.fingerprint((t or "").encode()) & (2**64 - 1) for t in texts], np.uint64)
+    assert sum(f != i and int(np.bitwise_count(fps[i] ^ fps[f])) > 3 for i, f in enumerate(first)) > 5  # what three bits leave
+    frame = spark.createDataFrame([(i, t, f"row {i}") for i, t in enumerate(texts)] + [(None, texts[9], "no id")], "doc_id long, text string, lang string").repartition(3)
+    got = corpus_pipeline.near_duplicate_stage(spark, frame, None)
+    assert got.columns == frame.columns
+    want = [(i, texts[i], f"row {i}") for i, f in enumerate(first) if i == f] + [(None, texts[9], "no id")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_contamination_blocks_and_short_items(spark, docs):
     items = [(1, PASSAGE), (2, " ".join(PASSAGE.split()[:4])), (10, prose(30, 3)), (3, None), (None, "one"), (4, "..."), (5, "ONE"), (10, prose(30, 3))]
     frame = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
