@@ -176,6 +176,16 @@ def test_near_stage_drops_edited_copies_and_no_other(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
+def test_near_stage_keeps_distinct_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    a, b, c = prose(60, "a"), prose(60, "b"), prose(60, "c")
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (5, c, "x"), (5, c, "x"), (7, b, "x"), (5, c, "y")]
+    for n in (1, 5):
+        got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n), None).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(1, a), (5, b), (5, c)])
+
+
 def test_contamination_blocks_and_short_items(spark, docs):
     items = [(1, PASSAGE), (2, " ".join(PASSAGE.split()[:4])), (10, prose(30, 3)), (3, None), (None, "one"), (4, "..."), (5, "ONE"), (10, prose(30, 3))]
     frame = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
