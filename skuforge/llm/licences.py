@@ -7,11 +7,13 @@ hard negatives, and a bounded sample of NEGATIVES corpus paragraphs without a ma
 holds this bounded training set and one aggregate() runs the descent, so fitting is one small task.
 The unknown class is calibrated: a family must beat both FLOOR and the highest family probability that
 was seen on rows of the unknown class. A prediction is confirmed by comparison with the family's templates: at
-least CONFIRM of a template's n-grams must be in the paragraph.
+least CONFIRM of a template's n-grams must be in the paragraph. Of a short form all of them must, and be
+SHORT_SHARE of the paragraph's.
 
-Every template has one of the MARKERS, and confirmation asks for one, so lines without a marker are
-unknown without scoring; that is part of the rule, not a shortcut. The model reaches the scan as a
-scalar subquery of fixed size. The scan is one pass without a shuffle or join.
+Every paragraph that any template can confirm is scored: of a template with k n-grams, r of them asked
+for, any k - r + 1 are anchors, and a paragraph without an anchor has too few n-grams of every template.
+The rarest n-grams of the sample are taken. The model reaches the scan as a scalar subquery of fixed
+size. The scan is one pass without a shuffle or join.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ ROUNDS = 150
 RATE = 20.0
 FLOOR = 1 / 3
 CONFIRM = 0.6
+SHORT_SHARE = 0.25
 UNKNOWN = "unknown"
+#: Words that keep a line out of the sample of the unknown class.
 MARKERS = ("licen", "copyright", "permission", "redistribution", "public domain", "spdx")
 
 # Licence families and short forms of their notices.
@@ -62,6 +66,23 @@ TEMPLATES = {
     "proprietary": ("Copyright. All rights reserved. No part of this work may be reproduced without written permission.", "Proprietary and confidential. Unlicensed copying is prohibited."),
     "unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
 }
+#: Notices of a few words.
+SHORT_FORMS = {
+    "agpl-3.0": ("AGPLv3", "AGPL-3.0", "GNU AGPL"),
+    "apache-2.0": ("Apache-2.0", "Apache License 2.0", "Apache License, Version 2.0"),
+    "bsd": ("BSD License", "BSD-3-Clause", "BSD-2-Clause"),
+    "cc-by": ("CC BY 4.0", "CC BY 3.0"),
+    "cc-by-nc": ("CC BY-NC 4.0", "CC BY-NC 3.0"),
+    "cc-by-sa": ("CC BY-SA 4.0", "CC BY-SA 3.0"),
+    "cc0": ("CC0", "CC0 1.0"),
+    "gpl": ("GPLv3", "GPLv2", "GPL-3.0", "GPL-2.0", "GNU GPL", "GNU General Public License"),
+    "isc": ("ISC License",),
+    "lgpl": ("LGPLv3", "LGPLv2.1", "LGPL-3.0", "LGPL-2.1", "GNU LGPL", "GNU Lesser General Public License"),
+    "mit": ("MIT License", "The MIT License (MIT)"),
+    "mpl-2.0": ("MPL-2.0", "Mozilla Public License 2.0"),
+    "proprietary": ("All rights reserved.",),
+    "unlicense": ("The Unlicense",),
+}
 HARD_NEGATIVES = (
     "He lost his driving license in version two of the story.", "The permission of the owner was never asked.", "She studies copyright law at the university.",
     "A licensed dealer released the software to the public.", "The work was granted a prize by the general public.", "The library is free of charge for any person.",
@@ -96,28 +117,35 @@ def softmax(v: Column) -> Column:
 
 def marked(paragraph: Column) -> Column:
     low = F.lower(paragraph)
-    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in MARKERS))
+    short = (t.lower().rstrip(".") for family in SHORT_FORMS.values() for t in family)
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in (*MARKERS, *short)))
+
+
+def asked(k: Column, short: Column) -> Column:
+    """Of a template's k n-grams those that a paragraph must have."""
+    return F.when(short, k).otherwise(F.ceil(CONFIRM * k - 1e-9).cast("int"))
 
 
 def model(docs: DataFrame, negatives: int = NEGATIVES, rounds: int = ROUNDS) -> DataFrame:
-    """One row: vocabulary, weights (class x n-gram), threshold, templates (class, n-grams)."""
+    """One row: vocabulary, weights (class x n-gram), threshold, templates (class, n-grams, short), anchors."""
     spark = docs.sparkSession
     total = docs.count()
     part = F.pmod(F.xxhash64("doc_id", F.lit("licence")), F.lit(1 << 20)) < min(1.0, 4 * negatives / max(1, total)) * (1 << 20)
     lines = docs.where(part).select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text")).where(F.trim("text") != "").where(~marked(F.col("text")))
-    plain = lines.distinct().orderBy(F.xxhash64("text"), "text").limit(negatives).select(F.lit(len(CLASSES) - 1).alias("y"), "text", F.lit(False).alias("whole"))
-    fixed = [(y, t, True) for y, family in enumerate(TEMPLATES) for t in TEMPLATES[family]] + [(len(CLASSES) - 1, t, False) for t in HARD_NEGATIVES]
-    base = spark.createDataFrame(fixed, "y int, text string, whole boolean")
+    plain = lines.distinct().orderBy(F.xxhash64("text"), "text").limit(negatives).select(F.lit(len(CLASSES) - 1).alias("y"), "text", F.lit(False).alias("whole"), F.lit(False).alias("short"))
+    fixed = [(y, t, True, False) for y, family in enumerate(TEMPLATES) for t in TEMPLATES[family]] + [(len(CLASSES) - 1, t, False, False) for t in HARD_NEGATIVES]
+    fixed += [(y, t, True, True) for y, family in enumerate(TEMPLATES) for t in SHORT_FORMS[family]]
+    base = spark.createDataFrame(fixed, "y int, text string, whole boolean, short boolean")
     # a template also teaches without its first or last fifth
     words = F.split("text", " ")
     fifth = F.greatest(F.lit(1), (F.size(words) / 5).cast("int"))
-    short = base.where("whole").select("y", F.explode(F.array(
-        F.array_join(F.slice(words, F.lit(1), F.size(words) - fifth), " "), F.array_join(F.slice(words, fifth + 1, F.size(words)), " "))).alias("text"), F.lit(False).alias("whole"))
+    short = base.where("whole and not short").select("y", F.explode(F.array(
+        F.array_join(F.slice(words, F.lit(1), F.size(words) - fifth), " "), F.array_join(F.slice(words, fifth + 1, F.size(words)), " "))).alias("text"), F.lit(False).alias("whole"), F.lit(False).alias("short"))
     rows = base.union(short).union(plain).withColumn("g", grams(F.col("text"))).where(F.size("g") > 0)
     one = written(rows.agg(
         F.array_sort(F.collect_list(F.struct("y", "g"))).alias("rows"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("whole"), F.col("g")))))).alias("vocabulary"),
-        F.array_sort(F.collect_list(F.when(F.col("whole"), F.struct("y", "g")))).alias("templates")), "licence-training")
+        F.array_sort(F.collect_list(F.when(F.col("whole"), F.struct("y", "g", "short")))).alias("templates")), "licence-training")
     k = len(CLASSES)
     one = written(one.withColumn("x", F.transform("rows", lambda r: F.struct(
         r["y"].alias("y"), known(r["g"], F.col("vocabulary")).alias("numbers"), (1 / F.sqrt(F.size(r["g"]))).alias("scale")))), "licence-rows")
@@ -135,7 +163,12 @@ def model(docs: DataFrame, negatives: int = NEGATIVES, rounds: int = ROUNDS) ->
     one = written(one.withColumn("weights", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, descend)), "licence-weights")
     # the highest family probability on a row of the unknown class
     seen = F.transform(F.filter("x", lambda r: r["y"] == k - 1), lambda r: F.array_max(F.slice(softmax(margins(F.col("weights"), r["numbers"], r["scale"])), F.lit(1), F.lit(k - 1))))
-    return written(one.select(F.struct("vocabulary", "weights", F.greatest(F.lit(FLOOR), F.array_max(seen)).alias("threshold"), "templates").alias("model")), "licence-model")
+    # each n-gram with the rows of the unknown class that have it; of each template the rarest
+    common = F.transform("vocabulary", lambda g: F.struct(F.size(F.filter("rows", lambda r: (r["y"] == k - 1) & F.array_contains(r["g"], g))).alias("n"), g.alias("g")))
+    one = written(one.withColumn("common", F.array_sort(common)), "licence-common")
+    rarest = F.transform("templates", lambda t: F.slice(F.filter(F.transform("common", lambda c: c["g"]), lambda g: F.array_contains(t["g"], g)), F.lit(1), F.size(t["g"]) - asked(F.size(t["g"]), t["short"]) + 1))
+    one = one.withColumn("anchors", F.array_distinct(F.flatten(rarest)))
+    return written(one.select(F.struct("vocabulary", "weights", F.greatest(F.lit(FLOOR), F.array_max(seen)).alias("threshold"), "templates", "anchors").alias("model")), "licence-model")
 
 
 def judge(paragraph: Column, m: Column) -> Column:
@@ -145,7 +178,8 @@ def judge(paragraph: Column, m: Column) -> Column:
     def of(g: Column) -> Column:
         return let(softmax(margins(m["weights"], known(g, m["vocabulary"]), 1 / F.sqrt(F.size(g)))), lambda p: let(
             F.array_max(F.transform(F.slice(p, F.lit(1), F.lit(k - 1)), lambda x, i: F.struct(x.alias("p"), (-i).alias("c")))), lambda top: let(
-                F.array_max(F.transform(F.filter(m["templates"], lambda t: t["y"] == -top["c"]), lambda t: F.size(F.array_intersect(t["g"], g)) / F.size(t["g"]))),
+                F.coalesce(F.array_max(F.transform(F.filter(m["templates"], lambda t: t["y"] == -top["c"]), lambda t: let(
+                    F.size(F.array_intersect(t["g"], g)), lambda n: F.when(~t["short"], n / F.size(t["g"])).when((n == F.size(t["g"])) & (n >= SHORT_SHARE * F.size(g)), 1.0)))), F.lit(0.0)),
                 lambda match: F.struct(
                     F.when((top["p"] > m["threshold"]) & (match >= CONFIRM), F.get(F.array(*[F.lit(c) for c in CLASSES]), -top["c"])).otherwise(F.lit(UNKNOWN)).alias("family"),
                     top["p"].alias("probability"), match.alias("match")))))
@@ -155,22 +189,16 @@ def judge(paragraph: Column, m: Column) -> Column:
 
 def scan(docs: DataFrame, fitted: DataFrame) -> DataFrame:
     """docs (text and other columns but `licences`) with `licences`: array of struct(line, family,
-    probability, match) of the lines with a marker word, in order; unknown lines included.
+    probability, match) of the lines with an anchor, in order; unknown lines included.
 
     Null and empty texts have none.
     """
-    numbered = F.transform(F.split("text", "\n"), lambda t, i: F.struct(i.alias("line"), t.alias("text")))
-    lines = F.filter(numbered, lambda s: marked(s["text"]))
+    numbered = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t, i: F.struct(i.alias("line"), t.alias("text")))
     found = F.transform("_lines", lambda s: let(judge(s["text"], F.col("_model")), lambda j: F.struct(
         s["line"].alias("line"), j["family"].alias("family"), j["probability"].alias("probability"), j["match"].alias("match"))))
-    none = F.expr("cast(array() as array<struct<line:int,text:string>>)")
-    has = F.coalesce(marked(F.col("text")), F.lit(False))
-    kind = "array<struct<line:int,family:string,probability:double,match:double>>"
-    rows = docs.withColumn("_lines", F.when(has, lines).otherwise(none))
-    # the model is taken along only by the rows that need it
-    few = rows.where(F.size("_lines") > 0).withColumn("_model", fitted.scalar()).withColumn("licences", found.cast(kind)).drop("_model", "_lines")
-    rest = rows.where(F.size("_lines") == 0).drop("_lines").withColumn("licences", F.expr(f"cast(array() as {kind})"))
-    return few.unionByName(rest)
+    rows = docs.withColumn("_anchors", fitted.select("model.anchors").scalar())
+    rows = rows.withColumn("_lines", F.filter(numbered, lambda s: F.arrays_overlap(grams(s["text"]), F.col("_anchors")))).drop("_anchors")
+    return rows.withColumn("_model", fitted.scalar()).withColumn("licences", found.cast("array<struct<line:int,family:string,probability:double,match:double>>")).drop("_model", "_lines")
 
 
 def op8_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -359,6 +359,17 @@ def test_licences_known_unknown_and_empty(spark):
         assert families == ({r["want"]} if r["want"] != "none" and marked else set()), r
 
 
+def test_licences_short_forms(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    fitted = licences.model(docs)
+    probe = [(k, t) for k, ts in licences.SHORT_FORMS.items() for t in ts] + [("gpl", "# GPLv3")]
+    probe += [("none", "All rights of the tenants are reserved for later."), ("none", "We met at the station and all went well."), ("none", prose(60, 3) + " GPLv3 " + prose(60, 4))]
+    frame = spark.createDataFrame([(k, "A line.\n" + t) for k, t in probe], "want string, text string")
+    bad = [(r["want"], r["text"], r["licences"]) for r in licences.scan(frame, fitted).collect()
+           if {x["family"] for x in r["licences"]} - {licences.UNKNOWN} != ({r["want"]} if r["want"] != "none" else set())]
+    assert not bad
+
+
 def test_counts_after_edits_equal_a_full_count(spark, docs):
     count = edit_counts.counter(edit_counts.RANKS_FILE)
     for r in edit_counts.recount(docs).collect():
