@@ -1,6 +1,7 @@
 """Licence scan: a trained paragraph classifier with template comparison. Built-in functions only.
 
-A paragraph is a line. Its features are the word unigrams and bigrams that occur in a licence template
+A paragraph is a run of lines between blank ones, joined without comment marks; its single lines are
+judged as well, and a paragraph whose family one of its lines shows already is no further notice. Features are the word unigrams and bigrams that occur in a licence template
 (all others weigh nothing), each 1 / sqrt(n-grams of the paragraph). A multinomial logistic regression
 over the licence families and an unknown class is fitted by gradient descent on shortened templates,
 hard negatives, and a bounded sample of NEGATIVES corpus paragraphs without a marker word. One row
@@ -121,6 +122,15 @@ def marked(paragraph: Column) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in (*MARKERS, *short)))
 
 
+def paragraphs(lines: Column) -> Column:
+    """Array of struct(line, n, text) of the runs of n lines that are not empty."""
+    at = F.sequence(F.lit(0), F.size(lines) - 1)
+    empty = lambda i: F.coalesce(F.get(lines, i), F.lit("")) == ""
+    return F.zip_with(
+        F.filter(at, lambda i: ~empty(i) & empty(i - 1)), F.filter(at, lambda i: ~empty(i) & empty(i + 1)),
+        lambda a, b: F.struct(a.alias("line"), (b - a + 1).alias("n"), F.array_join(F.slice(lines, a + 1, b - a + 1), " ").alias("text")))
+
+
 def asked(k: Column, short: Column) -> Column:
     """Of a template's k n-grams those that a paragraph must have."""
     return F.when(short, k).otherwise(F.ceil(CONFIRM * k - 1e-9).cast("int"))
@@ -189,16 +199,26 @@ def judge(paragraph: Column, m: Column) -> Column:
 
 def scan(docs: DataFrame, fitted: DataFrame) -> DataFrame:
     """docs (text and other columns but `licences`) with `licences`: array of struct(line, family,
-    probability, match) of the lines with an anchor, in order; unknown lines included.
+    probability, match) of the paragraphs with an anchor (line: their first) and, of those with more than
+    one line, the lines with an anchor; unknown ones included.
 
     Null and empty texts have none.
     """
-    numbered = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t, i: F.struct(i.alias("line"), t.alias("text")))
-    found = F.transform("_lines", lambda s: let(judge(s["text"], F.col("_model")), lambda j: F.struct(
-        s["line"].alias("line"), j["family"].alias("family"), j["probability"].alias("probability"), j["match"].alias("match"))))
-    rows = docs.withColumn("_anchors", fitted.select("model.anchors").scalar())
-    rows = rows.withColumn("_lines", F.filter(numbered, lambda s: F.arrays_overlap(grams(s["text"]), F.col("_anchors")))).drop("_anchors")
-    return rows.withColumn("_model", fitted.scalar()).withColumn("licences", found.cast("array<struct<line:int,family:string,probability:double,match:double>>")).drop("_model", "_lines")
+    # marks of other characters than letters and digits are no words, so they need no stripping
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.when(t.rlike(r"[\p{L}\p{N}]"), F.regexp_replace(t, r"^\s*(?:(?i:rem|dnl)\s)?", "")).otherwise(F.lit("")))
+    anchored = lambda s: F.arrays_overlap(grams(s["text"]), F.col("_anchors"))
+    own = lambda s: F.filter(F.transform(F.slice(F.col("_lines"), s["line"] + 1, F.when(s["n"] > 1, s["n"]).otherwise(0)), lambda t, i: F.struct(
+        (s["line"] + i).alias("line"), F.lit(0).alias("n"), t.alias("text"))), anchored)
+    judged = F.transform("_candidates", lambda s: let(judge(s["text"], F.col("_model")), lambda j: F.struct(
+        s["line"].alias("line"), j["family"].alias("family"), j["probability"].alias("probability"), j["match"].alias("match"), s["n"].alias("n"))))
+    shown = lambda r: F.exists("_judged", lambda o: (o["n"] == 0) & (o["family"] == r["family"]) & (o["line"] >= r["line"]) & (o["line"] < r["line"] + r["n"]))
+    found = F.transform(F.filter("_judged", lambda r: (r["family"] == UNKNOWN) | ~shown(r)), lambda r: F.struct(
+        *[r[c].alias(c) for c in ("line", "family", "probability", "match")]))
+    rows = docs.withColumn("_anchors", fitted.select("model.anchors").scalar()).withColumn("_lines", lines)
+    rows = rows.withColumn("_hot", F.filter(paragraphs(F.col("_lines")), anchored))
+    rows = rows.withColumn("_candidates", F.flatten(F.transform("_hot", lambda s: F.concat(F.array(s), own(s)))))
+    rows = rows.withColumn("_model", fitted.scalar()).withColumn("_judged", judged)
+    return rows.withColumn("licences", found.cast("array<struct<line:int,family:string,probability:double,match:double>>")).drop("_anchors", "_lines", "_hot", "_candidates", "_model", "_judged")
 
 
 def op8_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

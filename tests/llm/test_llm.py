@@ -370,6 +370,20 @@ def test_licences_short_forms(spark):
     assert not bad
 
 
+def test_licences_wrapped_headers_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+           "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+    probe = [(want, "\n".join(["Some title", mark.rstrip(), *[mark + x for x in header], mark.rstrip(), "The end of it."]))
+             for want, header in (("gpl", gpl), ("bsd", bsd)) for mark in ("", " * ", "# ", "// ", "dnl ")]
+    probe += [("mit", "First line here.\nReleased under the MIT License.\nLast line here."), (None, "one\n\ntwo"), (None, None), (None, "\n\n")]
+    frame = spark.createDataFrame(probe, "want string, text string")
+    bad = [(r["text"], r["licences"]) for r in licences.scan(frame, licences.model(docs)).collect()
+           if [x["family"] for x in r["licences"] if x["family"] != licences.UNKNOWN] != ([r["want"]] if r["want"] else [])]
+    assert not bad
+
+
 def test_counts_after_edits_equal_a_full_count(spark, docs):
     count = edit_counts.counter(edit_counts.RANKS_FILE)
     for r in edit_counts.recount(docs).collect():
