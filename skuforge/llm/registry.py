@@ -1,5 +1,6 @@
 """Queries of this subpackage, with DuckDB SQL where SQL can express them at any size."""
 
+from skuforge.llm.alignment import op12_span_alignment
 from skuforge.llm.contamination import OP9_SQL, op9_benchmark_decontamination
 from skuforge.llm.edit_counts import op10_edit_aware_counts
 from skuforge.llm.langid import op3_script_viterbi_langid
@@ -17,7 +18,7 @@ QUERIES = {
     q.__name__: q for q in (
         op1_quality_likelihood_ratio, op2_recompression_dedup, op3_script_viterbi_langid, op4_gumbel_topk_pieces, op5_warc_boundary_chain,
         op6_simhash_vantage_point, op7_keyed_surrogates, op8_licence_paragraphs, op9_benchmark_decontamination, op10_edit_aware_counts,
-        op11_two_bloom_line_dedup, op13_window_merkle_manifest)
+        op11_two_bloom_line_dedup, op12_span_alignment, op13_window_merkle_manifest)
 }
 ORACLES = {
     "op2_recompression_dedup": OP2_SQL,
