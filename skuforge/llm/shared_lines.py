@@ -40,6 +40,8 @@ BLOCK_KEYS = 1 << 18
 SEGMENT_KEYS = 1 << 23
 #: Segments at least, so that small inputs use all cores too.
 LEAST_SEGMENTS = 64
+#: Keys whose documents are found by a broadcast, at most.
+HOT_KEYS = 1 << 12
 BITS_PER_KEY = 8
 PROBES = 3
 #: Largest bitmap of documents to be rewritten, in bits; beyond it more documents are moved, none is missed.
@@ -197,11 +199,14 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     )
     suspects = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_suspects, "key binary, doc_id bigint, text_hash bigint"), "line-suspects")
     # first each (key, document) once, spread by both, then counts that combine before their shuffle
-    shared = (
+    shared = written(
         suspects.select("key", "doc_id").distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n") >= min_docs).select("key", "keeper")
-    )
-    lost = suspects.join(shared, "key").where("doc_id < keeper")
+        .where(F.col("n") >= min_docs), "line-shared")
+    # keys with at least 1 / HOT_KEYS of all suspects are HOT_KEYS rows at most, and are broadcast; no other key is hot
+    is_hot = F.col("n") * F.lit(HOT_KEYS) >= F.lit(suspects.count())
+    hot = F.broadcast(shared.where(is_hot).drop("n"))
+    cold = suspects.join(hot, "key", "left_anti").join(shared.where(~is_hot).drop("n"), "key")
+    lost = suspects.join(hot, "key").select(*suspects.columns, "keeper").union(cold.select(*suspects.columns, "keeper")).where("doc_id < keeper")
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("keys"))
 
 
