@@ -12,6 +12,7 @@ from skuforge.functions.text import (
     clean_placeholder, distinct_filled, drop_code, drop_remark, first_filled, plain_quotes, strip, text,
 )
 from skuforge.functions.units import std_dimensions
+from skuforge.operators.catalog import CatalogTables, resolve_tables
 from skuforge.operators.resolve import resolve
 from skuforge.operators.stages import layer, sealed
 
@@ -32,8 +33,8 @@ def missing_fields() -> Column:
     return distinct_filled(*[F.when(strip(text(F.col(c))) == "", F.lit(c)) for c in rules.REQUIRED_VALUES])
 
 
-def normalize(df: DataFrame, catalog: Sequence[rules.CatalogRow] = rules.CATALOG) -> DataFrame:
-    """Adds the six normalised columns to a feed."""
+def normalize(df: DataFrame, catalog: Sequence[rules.CatalogRow] | CatalogTables = rules.CATALOG) -> DataFrame:
+    """Adds the six normalised columns to a feed. A short catalog becomes part of the plan; catalog tables are joined."""
     keep = df.columns
     df = layer(
         df,
@@ -43,9 +44,8 @@ def normalize(df: DataFrame, catalog: Sequence[rules.CatalogRow] = rules.CATALOG
         },
     )
     df = layer(df, {"CLEAN_DESC": drop_remark(F.col("_n_desc")), "_n_sup": drop_code(F.col("_n_raw"))})
-    df = resolve(
-        df, F.col("_n_sup"), F.col("CLEAN_DESC"), F.col("MANUFACTURER_PART_NUMBER"), F.col("_n_brand"), catalog
-    )
+    how = resolve_tables if isinstance(catalog, CatalogTables) else resolve
+    df = how(df, F.col("_n_sup"), F.col("CLEAN_DESC"), F.col("MANUFACTURER_PART_NUMBER"), F.col("_n_brand"), catalog)
     df = layer(
         df, {"STANDARDIZED_DIMENSIONS": std_dimensions(F.col("CLEAN_DESC")), "STAGE1_STATUS": F.lit("NORMALIZED")}
     )

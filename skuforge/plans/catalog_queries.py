@@ -17,6 +17,7 @@ from skuforge import rules
 from skuforge.functions import similarity, units
 from skuforge.functions import text as tx
 from skuforge.operators import attributes as at
+from skuforge.operators import catalog as ct
 from skuforge.operators import delivery as dl
 from skuforge.operators import describe as ds
 from skuforge.operators import kpis as kp
@@ -28,10 +29,11 @@ from skuforge.operators import truth as tr
 from skuforge.operators.normalize import missing_fields, normalize, pick_brand
 from skuforge.operators.stages import layer
 from skuforge.operators.taxonomy import classify
+from skuforge.oracle import catalog_sql as oc
 from skuforge.oracle import sql as o
 from skuforge.plans import pipeline as pl
 from skuforge.plans.results import shared_folder, written
-from skuforge.sources import delivery_file, sample_feed
+from skuforge.sources import delivery_file, sample_catalog, sample_feed
 from skuforge.sources import feed as fd
 from skuforge.streaming import ingest
 
@@ -500,6 +502,28 @@ def token_sort_ratio(spark, sf_dir):
     return pairs.select("sup", C("c.pri").alias("pri"), F.bround(similarity.token_sort_ratio(C("sup"), C("c.name")), 6).alias("score"))
 
 
+@query("mfg_fuzzy_join", oc.MFG_FUZZY_JOIN)
+def mfg_fuzzy_join(spark, sf_dir):
+    """The most similar of thousands of manufacturers for every customer and supplier name with spelling changes."""
+    catalog = sample_catalog.makers(spark, sf_dir).select("pri", C("manufacturer").alias("name"))
+    found = ct.most_similar(sample_catalog.names(spark, sf_dir), catalog)
+    return found.select("name", "pri", F.bround(C("sim") * 100, 6).alias("score"))
+
+
+@query("custom_catalog", oc.CUSTOM_CATALOG)
+def custom_catalog(spark, sf_dir):
+    """A feed resolved against a catalog, aliases and distributors that are tables of thousands of rows."""
+    rows = normalize(sample_catalog.feed(spark, sf_dir), sample_catalog.tables(spark, sf_dir))
+    return rows.select("row_id", C("MANUFACTURER_NAME").alias("mfg"), C("BRAND_NAME").alias("brand"))
+
+
+@query("fixed_catalog_tables", o.with_stages("n4", "select row_id, mfg, brand from n4"))
+def fixed_catalog_tables(spark, sf_dir):
+    """The built-in catalog and rule tables as frames: the same answers as `resolve_brand`."""
+    rows = normalize(feed(spark, sf_dir), ct.catalog_tables(spark))
+    return rows.select("row_id", C("MANUFACTURER_NAME").alias("mfg"), C("BRAND_NAME").alias("brand"))
+
+
 @query("resolve_brand", o.with_stages("n4", "select row_id, mfg, brand from n4"))
 def resolve_brand(spark, sf_dir):
     return normalize(feed(spark, sf_dir)).select("row_id", C("MANUFACTURER_NAME").alias("mfg"), C("BRAND_NAME").alias("brand"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skuforge import rules
 from skuforge.functions.text import first_filled, strip, text
 from skuforge.operators.attributes import SCALARS, extract_attributes
+from skuforge.operators.catalog import CatalogTables
 from skuforge.operators.describe import DESCRIPTIONS, brand_context, describe, features
 from skuforge.operators.normalize import NORMALIZED, missing_fields, normalize
 from skuforge.operators.provenance import provenance_urls
@@ -90,10 +91,11 @@ def enrich(df: DataFrame, keep: Sequence[str] | None = None, when: Column | None
 
 
 def run(
-    feed: DataFrame, catalog: Sequence[rules.CatalogRow] = rules.CATALOG, row_id: str = "row_id"
+    feed: DataFrame, catalog: Sequence[rules.CatalogRow] | CatalogTables = rules.CATALOG, row_id: str = "row_id"
 ) -> DataFrame:
     """Feed to result rows: row_id, status, the raw, normalized and enriched records, validation,
-    review and error. Every input row gives exactly one result row."""
+    review and error. Every input row gives exactly one result row. With catalog tables the
+    manufacturers are resolved by joins; everything else stays one narrow stage."""
     raw = [c for c in rules.FEED_COLUMNS if c in feed.columns]
     df = feed.select(row_id, *[text(C(f"`{c}`")).alias(c) for c in raw])
     df = layer(df, {"missing": missing_fields()})
