@@ -23,9 +23,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +39,17 @@ BPE_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Pairs that are broadcast at most (17 bytes each).
 HOT_PAIRS = 1 << 20
-#: Characters of segments that a worker remembers, and the longest segment remembered.
-CACHE_CHARS = 1 << 20
-CACHE_LONGEST = 64
+#: Characters of segments, and segments, that a worker remembers before it starts anew.
+CACHE_CHARS = 1 << 22
+CACHE_SEGMENTS = 1 << 18
+#: Characters of new segments that are encoded as one text.
+STRETCH = 1 << 15
 #: Bytes of text that are aligned before rows are handed on.
 CHUNK_BYTES = 1 << 21
+#: Bits of an id; a pair is A's id << ID_BITS | B's id.
+ID_BITS = 20
+#: Links of a group up to which they are spelled out; larger groups count equal ids first.
+SPELLED_LINKS = 64
 
 _CUT = re.compile(r"(?<=\S) (?=.)", re.DOTALL)
 
@@ -55,56 +61,63 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def ends(spans: list[tuple[int, int]], sizes: list[int]) -> list[int]:
-    """Where each token ends, in bytes. spans: in bytes, coarse; sizes: of the decoded bytes."""
-    out, at = [], 0
-    for i, (begin, end) in enumerate(spans):
-        shared = begin == end or i + 1 < len(spans) and spans[i + 1][0] < end
-        at = at + sizes[i] if shared else end
-        out.append(at)
-    return out
-
-
-def grouped(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> list[tuple[int, list[int], list[int]]]:
-    """Groups (end, A ids, B ids) between common ends."""
-    out, j, i0 = [], 0, 0
-    at = {e: k for k, e in enumerate(b_ends)}
-    for i, e in enumerate(a_ends):
-        k = at.get(e)
-        if k is not None:
-            out.append((e, a[i0:i + 1], b[j:k + 1]))
-            i0, j = i + 1, k + 1
-    return out
-
-
-def links(groups: list[tuple[int, list[int], list[int]]]) -> dict[int, int]:
-    """How often each pair of ids is linked; a pair is A's id << 32 | B's id."""
-    out: dict[int, int] = {}
-    for _, a, b in groups:
-        if len(a) == len(b) == 1:
-            pair = a[0] << 32 | b[0]
-            out[pair] = out.get(pair, 0) + 1
-            continue
-        some = Counter(b).items()
-        for x, n in Counter(a).items():
-            for y, m in some:
-                pair = x << 32 | y
-                out[pair] = out.get(pair, 0) + n * m
-    return out
-
-
-class Segment:
-    """An encoded stretch; `exact` if both sides give back its bytes."""
-
-    def __init__(self, groups: list, size: int, exact: bool) -> None:
-        self.groups, self.size, self.exact = groups, size, exact
-        self.n_a, self.n_b = sum(len(g[1]) for g in groups), sum(len(g[2]) for g in groups)
-        self.n_links = sum(len(g[1]) * len(g[2]) for g in groups)
-        self.text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for _, a, b in groups)
-        self.pairs = tuple(links(groups).items())
+def ends(begin: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where each token ends. begin, end: the library's spans in bytes, coarse; size: of the decoded bytes.
+
+    A span that is empty, or that the next one starts inside of, belongs to a token that shares a character
+    with the next; it ends as many decoded bytes after the last end that is certain as lie between.
+    """
+    shared = begin == end
+    shared[:-1] |= begin[1:] < end[:-1]
+    total = np.cumsum(size)
+    certain = np.maximum.accumulate(np.where(shared, -1, np.arange(len(end))))
+    since = np.where(certain < 0, 0, end[certain] - total[certain])
+    return since + total
+
+
+class Stream:
+    """Both encodings of texts that stand one behind the other, and their groups.
+
+    a, b: ids; a_group, b_group: group of each token; end: where each group ends, in bytes of all texts, each with its space.
+    """
+
+    def __init__(self, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> None:
+        self.a, self.b = a, b
+        self.a_last = b_ends[np.searchsorted(b_ends, a_ends)] == a_ends if len(a) else np.zeros(0, bool)
+        self.b_last = a_ends[np.searchsorted(a_ends, b_ends)] == b_ends if len(b) else np.zeros(0, bool)
+        self.a_group, self.b_group = np.cumsum(self.a_last) - self.a_last, np.cumsum(self.b_last) - self.b_last
+        self.end = a_ends[self.a_last]
+        self.n_a, self.n_b = np.bincount(self.a_group, minlength=len(self.end)), np.bincount(self.b_group, minlength=len(self.end))
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Linked pairs: group, pair, how often (a pair may come in several rows of a group)."""
+        first = np.cumsum(self.n_b) - self.n_b
+        small = self.n_a * self.n_b <= SPELLED_LINKS
+        of = np.flatnonzero(small[self.a_group])
+        group = self.a_group[of]
+        width = self.n_b[group]
+        at = np.repeat(first[group] - np.cumsum(width) + width, width) + np.arange(width.sum())
+        group = np.repeat(group, width)
+        pair = np.repeat(self.a[of], width) << ID_BITS | self.b[at]
+        times = np.ones(len(pair), np.int64)
+        more = []
+        for g in np.flatnonzero(~small).tolist():
+            x, n = np.unique(self.a[np.searchsorted(self.a_group, g):np.searchsorted(self.a_group, g + 1)], return_counts=True)
+            y, m = np.unique(self.b[first[g]:first[g] + self.n_b[g]], return_counts=True)
+            more.append((np.full(len(x) * len(y), g), (x[:, None] << ID_BITS | y).ravel(), (n[:, None] * m).ravel()))
+        if more:
+            group, pair, times = (np.concatenate(c) for c in zip((group, pair, times), *more))
+            order = np.argsort(group, kind="stable")
+            group, pair, times = group[order], pair[order], times[order]
+        return group, pair, times
 
 
 class Aligner:
+    """Both tokenizers, and the segments met so far.
+
+    A segment has a number; `texts`, `figures` (A tokens, B tokens, groups, links) and its stretch of `pairs` and `times` go by it.
+    """
+
     def __init__(self, bpe: str, model: bytes) -> None:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -112,60 +125,121 @@ class Aligner:
         self.a, self.b = Tokenizer.from_str(bpe), SentencePieceProcessor(model_proto=model)
         self.a.encode_special_tokens = True
         alphabet = byte_alphabet()
-        self.a_bytes = {i: bytes(alphabet[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        entries = self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
+        for token, i in entries.items():
+            self.a_bytes[i] = bytes(alphabet[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes))
+        # how an id is written inside a group and at its end
+        self.written = [f"{i}{mark}" for i in range(len(self.a_bytes)) for mark in ",|"] + [f"{i}{mark}" for i in range(len(self.b_bytes)) for mark in ",;"]
         kind = json.loads(bpe)
         pre = kind["pre_tokenizer"] or {}
         self.apart = (
             kind["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
             and not any("▁" in p.lstrip("▁") for p in pieces))
-        self.known: dict[str, Segment] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.texts: list[str | None] = []
+        self.figures = np.zeros((0, 4), np.int64)
+        self.start = np.zeros(1, np.int64)
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.held = 0
 
-    def encode(self, parts: list[str]) -> list[Segment]:
-        """Segments of a space and the part, for each part."""
-        whole = [" " + p for p in parts]
-        out = []
-        for s, x, y in zip(whole, self.a.encode_batch(whole, add_special_tokens=False), self.b.encode(parts, return_type="proto", num_threads=1)):
+    def stream(self, texts: list[str]) -> tuple[Stream, np.ndarray]:
+        """The texts, each behind a space, that both sides give back byte for byte, and which those are."""
+        spaced = [" " + t for t in texts]
+        ok = np.zeros(len(texts), bool)
+        begin_a, end_a, begin_b, end_b, ids_a, ids_b, kept = [], [], [], [], [], [], []
+        chars = size = 0
+        for k, (s, x, y) in enumerate(zip(spaced, self.a.encode_batch(spaced, add_special_tokens=False), self.b.encode(texts, return_type="proto", num_threads=1))):
             raw = s.encode()
-            pieces = [(p.id, p.begin + 1, p.end + 1) for p in y.pieces]
-            b = [p[0] for p in pieces]
-            a_parts, b_parts = [self.a_bytes.get(i, b"") for i in x.ids], [self.b_bytes[i] for i in b]
-            if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-                out.append(Segment([], len(raw), False))
+            pieces = [(p.id, p.begin, p.end) for p in y.pieces]
+            b, begin, end = zip(*pieces) if pieces else ((), (), ())
+            a = x.ids
+            if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
                 continue
-            spans = x.offsets
-            if len(raw) != len(s):
-                byte = [0, *np.cumsum([len(c.encode()) for c in s]).tolist()]
-                spans = [(byte[begin], byte[end]) for begin, end in spans]
-            # the added space belongs to the first piece of B
-            b_spans = [(0 if k == 0 else begin, end) for k, (_, begin, end) in enumerate(pieces)]
-            out.append(Segment(grouped(x.ids, ends(spans, list(map(len, a_parts))), b, ends(b_spans, list(map(len, b_parts)))), len(raw), True))
-        return out
-
-    def learn(self, parts: set[str]) -> dict[str, Segment]:
-        """Segments of all parts; those of short parts are remembered."""
-        new = [p for p in parts if p not in self.known]
-        found = dict(zip(new, self.encode(new)))
-        out = found | {p: self.known[p] for p in parts if p in self.known}
-        if self.held > CACHE_CHARS:
-            self.known, self.held = {}, 0
-        for p, s in found.items():
-            if len(p) <= CACHE_LONGEST:
-                self.known[p] = s
-                self.held += len(p) + 1
-        return out
-
-    def texts(self, texts: list[str]) -> Iterator[list[Segment]]:
-        """The segments of each text; none for an empty text or one that does not come back."""
+            ok[k] = True
+            kept.append(raw)
+            spans = np.array(x.offsets, np.int64) + chars
+            begin_a.append(spans[:, 0])
+            end_a.append(spans[:, 1])
+            begin_b.append(np.array(begin, np.int64) + size + 1)
+            begin_b[-1][0] -= 1  # the added space belongs to the first piece
+            end_b.append(np.array(end, np.int64) + size + 1)
+            ids_a.append(np.array(a, np.int64))
+            ids_b.append(np.array(b, np.int64))
+            chars, size = chars + len(s), size + len(raw)
+        none = [np.zeros(0, np.int64)]
+        begin_a, end_a, begin_b, end_b, a, b = (np.concatenate(x or none) for x in (begin_a, end_a, begin_b, end_b, ids_a, ids_b))
+        if chars != size:
+            buf = np.frombuffer(b"".join(kept), np.uint8)
+            byte = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
+            begin_a, end_a = byte[begin_a], byte[end_a]
+        return Stream(a, ends(begin_a, end_a, self.a_size[a]), b, ends(begin_b, end_b, self.b_size[b])), ok
+
+    def add(self, stretches: list[list[str]]) -> list[str]:
+        """Learns the parts; a stretch is encoded as one text, its parts behind spaces. Returns parts of stretches that failed."""
+        got, ok = self.stream([" ".join(parts) for parts in stretches])
+        new = [p for parts, fine in zip(stretches, ok) if fine for p in parts]
+        if new:
+            stop = np.cumsum([len(p.encode()) + 1 for p in new])
+            own = np.searchsorted(stop, got.end)  # part of each group
+            n, spelled = len(new), np.zeros(len(got.a) + len(got.b), np.int64)
+            spelled[np.arange(len(got.a)) + (np.cumsum(got.n_b) - got.n_b)[got.a_group]] = 2 * got.a + got.a_last
+            spelled[np.arange(len(got.b)) + np.cumsum(got.n_a)[got.b_group]] = 2 * (len(self.a_bytes) + got.b) + got.b_last
+            tokens = [np.bincount(own[g], minlength=n) for g in (got.a_group, got.b_group)]
+            group, pair, times = got.links()
+            owner = own[group]
+            words = list(map(self.written.__getitem__, spelled.tolist()))
+            last = np.cumsum(tokens[0] + tokens[1]).tolist()
+            base = len(self.texts)
+            self.texts += ["".join(words[i:j])[:-1] for i, j in zip([0, *last], last)]
+            self.figures = np.concatenate([self.figures, np.stack([*tokens, np.bincount(own, minlength=n), np.bincount(owner, times, n).astype(np.int64)], axis=1)])
+            self.pairs, self.times = np.concatenate([self.pairs, pair]), np.concatenate([self.times, times])
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.bincount(owner, minlength=n))])
+            self.known.update(zip(new, range(base, base + n)))
+            self.held += int(stop[-1])
+        return [p for parts, fine in zip(stretches, ok) if not fine for p in parts]
+
+    def learn(self, parts: list[str]) -> None:
+        """Makes the parts known, those that do not come back as a segment without tokens."""
+        stretches, whole, held = [], [], 0
+        for p in parts:
+            if "▁" in p or p[-1].isspace():
+                stretches.append([p])
+            else:
+                whole.append(p)
+                held += len(p)
+                if held > STRETCH:
+                    stretches.append(whole)
+                    whole, held = [], 0
+        failed = self.add(stretches + [whole] * bool(whole))
+        failed = self.add([[p] for p in failed]) if failed else []
+        for p in failed:
+            self.known[p] = len(self.texts)
+            self.texts.append(None)
+            self.figures = np.concatenate([self.figures, np.zeros((1, 4), np.int64)])
+            self.start = np.append(self.start, self.start[-1])
+
+    def segments(self, texts: list[str]) -> list[list[int]]:
+        """Numbers of the segments of each text; none for an empty text or one that does not come back."""
+        if self.held > CACHE_CHARS or len(self.known) > CACHE_SEGMENTS:
+            self.forget()
         parts = [(_CUT.split(t) if self.apart else [t]) if t else [] for t in texts]
-        known = self.learn(set().union(*parts))
-        for t, own in zip(texts, parts):
-            segments = [known[p] for p in own]
-            if not all(s.exact for s in segments):
-                segments = [s for s in self.encode([t]) if s.exact] if len(own) > 1 else []
-            yield segments
+        self.learn([p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in self.known])
+        out = [[self.known[p] for p in own] for own in parts]
+        bad = [k for k, own in enumerate(out) if any(self.texts[i] is None for i in own)]
+        if bad:
+            # a text with such a part is encoded as a whole
+            self.learn([t for t in dict.fromkeys(texts[k] for k in bad) if t not in self.known])
+            for k in bad:
+                i = self.known[texts[k]]
+                out[k] = [] if self.texts[i] is None else [i]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -180,11 +254,6 @@ def _load(spark: SparkSession, bpe_file: str, piece_file: str) -> Callable[[], A
     return lambda: _aligner(*files.value)
 
 
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else [], kind))
-
-
 def groups(docs: DataFrame, bpe_file: str = BPE_FILE, piece_file: str = PIECE_FILE) -> DataFrame:
     """Rows (doc_id, groups array<struct<begin, end, a, b>>): the groups with their byte offsets in space + text. One row
     per input row; a null or empty text, or one that either side does not give back, has none."""
@@ -196,14 +265,10 @@ def groups(docs: DataFrame, bpe_file: str = BPE_FILE, piece_file: str = PIECE_FI
             texts = encoded(batch.column(1))
             for i, j in chunks(texts, CHUNK_BYTES):
                 rows = []
-                for segments in load().texts([t.decode() for t in texts[i:j]]):
-                    own, base, begin = [], 0, 0
-                    for s in segments:
-                        for end, a, b in s.groups:
-                            own.append({"begin": begin, "end": base + end, "a": a, "b": b})
-                            begin = base + end
-                        base += s.size
-                    rows.append(own)
+                for t in texts[i:j]:
+                    got, _ = load().stream([t.decode()] if t else [])
+                    a, b = (np.split(x, np.cumsum(n)[:-1]) if len(n) else [] for x, n in ((got.a, got.n_a), (got.b, got.n_b)))
+                    rows.append([{"begin": x, "end": y, "a": p, "b": q} for x, y, p, q in zip([0, *got.end.tolist()], got.end.tolist(), a, b)])
                 kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(rows, kind)], ["doc_id", "groups"])
 
@@ -220,22 +285,26 @@ def linked(docs: DataFrame, bpe_file: str = BPE_FILE, piece_file: str = PIECE_FI
         for batch in batches:
             texts = encoded(batch.column(1))
             for i, j in chunks(texts, CHUNK_BYTES):
-                rows, pairs, times = [], [], []
-                for segments in load().texts([t.decode() for t in texts[i:j]]):
-                    own: dict[int, int] = {}
-                    n_a = n_b = n_groups = n_links = 0
-                    for s, n in Counter(segments).items():
-                        n_a, n_b, n_groups, n_links = n_a + n * s.n_a, n_b + n * s.n_b, n_groups + n * len(s.groups), n_links + n * s.n_links
-                        for p, m in s.pairs:
-                            own[p] = own.get(p, 0) + n * m
-                    text = ";".join([s.text for s in segments])
-                    rows.append((n_a, n_b, n_groups, n_links, hashlib.sha256(text.encode()).hexdigest() if segments else ""))
-                    pairs.append(np.fromiter(own.keys(), np.int64, len(own)))
-                    times.append(np.fromiter(own.values(), np.int64, len(own)))
-                cols = list(zip(*rows))
+                aligner = load()
+                own = aligner.segments([t.decode() for t in texts[i:j]])
+                sizes = np.array([len(x) for x in own])
+                at = np.fromiter(chain.from_iterable(own), np.int64, sizes.sum())
+                text = np.repeat(np.arange(len(own)), sizes)
+                figures = np.zeros((len(own), 4), np.int64)
+                np.add.at(figures, text, aligner.figures[at])
+                # the pairs of all segments, by text
+                width = aligner.start[at + 1] - aligner.start[at]
+                where = np.repeat(aligner.start[at] - np.cumsum(width) + width, width) + np.arange(width.sum())
+                key = np.repeat(text, width) << 2 * ID_BITS | aligner.pairs[where]
+                order = np.argsort(key)
+                key, times = key[order], aligner.times[where][order]
+                first = np.flatnonzero(np.diff(key, prepend=-1))
+                offsets = np.searchsorted(key[first] >> 2 * ID_BITS, np.arange(len(own) + 1))
+                lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int64())) for x in (
+                    key[first] & (1 << 2 * ID_BITS) - 1, np.add.reduceat(times, first) if len(first) else times)]
+                digests = [hashlib.sha256(";".join([aligner.texts[k] for k in x]).encode()).hexdigest() if x else "" for x in own]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()),
-                     _lists(pairs, pa.int64()), _lists(times, pa.int64())],
+                    [batch.column(0).slice(i, j - i), *[pa.array(c) for c in figures.T.copy()], pa.array(digests, pa.string()), *lists],
                     ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -245,7 +314,7 @@ def linked(docs: DataFrame, bpe_file: str = BPE_FILE, piece_file: str = PIECE_FI
 def pair_table(texts: DataFrame) -> DataFrame:
     """Rows (pair, n, best): in how many texts a pair is linked, and whether no pair of the same A id is linked in more."""
     counts = written(texts.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "align-counts")
-    a = F.shiftright("pair", 32).alias("a")
+    a = F.shiftright("pair", ID_BITS).alias("a")
     most = counts.groupBy(a).agg(F.max("n").alias("most"))
     return counts.withColumn("a", a).join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
