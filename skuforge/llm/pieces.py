@@ -41,12 +41,12 @@ SEED = 7
 SPACE = "▁"
 UNITS = re.compile(r"[ \n][^ \n]*")
 #: Characters whose lattices and walks are held at a time.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 _U = np.uint64
 
 
 class Pieces:
-    """Piece strings, log probabilities, and a trie as sorted (node, character) keys."""
+    """Piece strings, log probabilities, and a trie: a table of children for ASCII characters, sorted (node, character) keys for all."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -77,11 +77,25 @@ class Pieces:
         keys = np.array([(a << 21) | c for a, c in nodes], np.int64)
         order = np.argsort(keys)
         self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        self.ascii = np.zeros((len(nodes) + 1, 128), np.int32)  # 0: no child
+        plain_key = (keys & 0x1FFFFF) < 128
+        self.ascii[keys[plain_key] >> 21, keys[plain_key] & 0x7F] = np.flatnonzero(plain_key) + 1
         self.piece = np.full(len(nodes) + 1, -1, np.int64)  # of each trie node
         for at, i in ends.items():
             self.piece[at] = i
 
 
+    def children(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The child of each node by a character, 0 for none."""
+        out = self.ascii[node, char & 0x7F]
+        wide = np.flatnonzero(char > 0x7F)
+        if len(wide):
+            key = (node[wide] << 21) | char[wide]
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[wide] = np.where(self.keys[i] == key, self.child[i], 0)
+        return out
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
@@ -113,10 +127,9 @@ class Lattices:
         found = []
         single = np.zeros(n, bool)
         while len(start):
-            key = (here << 21) | c[at]
-            i = np.minimum(np.searchsorted(p.keys, key), len(p.keys) - 1)
-            ok = (p.keys[i] == key) & ~is_end[at]
-            start, at, here = start[ok], at[ok] + 1, p.child[i[ok]]
+            child = p.children(here, c[at])
+            ok = (child > 0) & ~is_end[at]
+            start, at, here = start[ok], at[ok] + 1, child[ok].astype(np.int64)
             piece = p.piece[here]
             hit = piece >= 0
             found.append((start[hit], at[hit], piece[hit].astype(np.int32)))
