@@ -32,6 +32,7 @@ from skuforge.operators.taxonomy import classify
 from skuforge.oracle import catalog_sql as oc
 from skuforge.oracle import sql as o
 from skuforge.plans import pipeline as pl
+from skuforge.plans.ranged import RangedResults
 from skuforge.plans.results import shared_folder, written
 from skuforge.sources import delivery_file, sample_catalog, sample_feed
 from skuforge.sources import feed as fd
@@ -981,6 +982,50 @@ def apply_decisions(spark, sf_dir):
     return rows.select("row_id", C("decision")["action"].alias("action"), C("decision")["comment"].alias("comment"), C("review")["needs_review"].alias("needs_review"))
 
 
+_RANGED: dict[tuple[str, str], RangedResults] = {}
+
+
+def ranged(spark: SparkSession, sf_dir: str) -> RangedResults:
+    """Results in ranges of 300 row ids, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RANGED:
+        _RANGED[key] = RangedResults.write(results(spark, sf_dir), f"{shared_folder(spark)}/skuforge/ranged-{uuid.uuid4().hex}", 300)
+    return _RANGED[key]
+
+
+@query("ranged_page", res("select row_id, \"Mfg_Part_Num\" as mpn, status from res where status = 'review' order by row_id limit 25 offset 500"))
+def ranged_page(spark, sf_dir):
+    """Page 21 through the count index."""
+    return ranged(spark, sf_dir).page(21, 25, "review").select("row_id", "mpn", "status")
+
+
+@query("ranged_after", res("select row_id, status from res where status = 'review' and row_id > 590 order by row_id limit 40"))
+def ranged_after(spark, sf_dir):
+    """The page behind a row."""
+    return ranged(spark, sf_dir).after(590, 40, "review").select("row_id", "status")
+
+
+@query("ranged_page_info", res("select count(*) as total, ceil(count(*) / 25.0)::bigint as pages from res where status = 'review'"))
+def ranged_page_info(spark, sf_dir):
+    return ranged(spark, sf_dir).info(25, "review")
+
+
+_LATER = "list_extract([" + _ACTIONS_SQL + "], ((row_id + 1) % 4)::int + 1)"
+_EARLIER = "list_extract([" + _ACTIONS_SQL + "], (row_id % 4)::int + 1)"
+
+
+@query("merge_decisions", res(f"""select row_id, case when row_id % 900 < 450 then {_LATER} when row_id % 3 = 0 then {_EARLIER} end as action,
+case when row_id % 900 < 450 then 'c1' when row_id % 3 = 0 then 'c0' end as comment,
+len(reasons) > 0 and not ((row_id % 3 = 0 and {_EARLIER} <> 'reject') or (row_id % 900 < 450 and {_LATER} <> 'reject')) as needs_review from res"""))
+def merge_decisions(spark, sf_dir):
+    """Later decisions arrive first, for some ranges; earlier ones for every third row follow."""
+    store = RangedResults.write(results(spark, sf_dir), f"{shared_folder(spark)}/skuforge/ranged-{uuid.uuid4().hex}", 300)
+    every = decisions(spark, sf_dir)
+    store.merge(every.where((C("comment") == "c1") & (C("row_id") % 900 < 450)))
+    store.merge(every.where((C("comment") == "c0") & (C("row_id") % 3 == 0)))
+    return store.rows().select("row_id", C("decision")["action"].alias("action"), C("decision")["comment"].alias("comment"), C("review")["needs_review"].alias("needs_review"))
+
+
 @query("length_budget", res("select row_id, " + ", ".join(f"length({c})::bigint as {c}_len, length({c}) <= {n} as {c}_ok" for c, n in rules.CHANNEL_LIMITS.items()) + " from res where ok"))
 def length_budget(spark, sf_dir):
     return sv.length_budget(dl.deliverable(results(spark, sf_dir)).select("row_id", "enriched.*"))

@@ -133,3 +133,36 @@ def test_feed_file(spark, tmp_path):
         (tmp_path / name).write_text(content)
         with pytest.raises(fd.FeedError, match=message):
             fd.read_feed(spark, str(tmp_path / name))
+
+
+def test_token_sort_ratio_of_any_length(spark):
+    """Columns and constant names below, at and beyond one, two and several words of the scan."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from skuforge.functions import similarity
+
+    r = random.Random(1)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rows = [(None, None), ("", ""), ("a", ""), (None, "x"), ("b a", "a  b"), ("\x1ca\x85b", "b a"), ("é😀x", "😀é")]
+    for n in (5, 59, 60, 61, 119, 120, 121, 400):
+        rows += [tuple("".join(r.choice("abcde fé😀") for _ in range(r.randrange(n // 2, n + 1))) for _ in range(2)) for _ in range(4)]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", similarity.token_sort_ratio(F.col("a"), F.col("b")).alias("s"))
+    assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+    for x in df.collect():
+        a, b = (" ".join(sorted((t or "").split())) for t in (x["a"], x["b"]))
+        total = len(a) + len(b)
+        assert x["s"] == pytest.approx((1.0 - (total - 2 * lcs(a, b)) / total) * 100 if total else 100.0)
+    names = ["".join(r.choice("abcde") for _ in range(n)) for n in (10, 59, 60, 61, 100, 130)]
+    given = spark.createDataFrame([(n[1:] + "q",) for n in names], "s string").withColumn("c", F.split("s", ""))
+    for x in given.select("s", *[F.expr(similarity._lcs_with_name("c", n)).alias(f"l{i}") for i, n in enumerate(names)]).collect():
+        assert [x[f"l{i}"] for i in range(len(names))] == [lcs(x["s"], n) for n in names]
