@@ -409,12 +409,8 @@ def test_pipeline_against_its_operators_one_by_one(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     judged = {r["doc_id"]: r["kept"] for r in quality.op1_quality_likelihood_ratio(spark, sf).collect()}
     kept = {i: d["text"] for i, d in docs.items() if judged[i]}
-    fps = {i: np.uint64(simhash.fingerprint(t.encode()) & (2**64 - 1)) for i, t in kept.items()}
     ids = sorted(kept)
-    h = np.array([fps[i] for i in ids], np.uint64)
-    parent = np.arange(len(ids))
-    p, q = np.nonzero(np.bitwise_count(h[:, None] ^ h[None, :]) <= 3)
-    simhash.unite(parent, p, q)
+    parent = brute_similar([kept[i] for i in ids])
     kept = {i: kept[i] for k, i in enumerate(ids) if parent[k] == k}
     grams = set()
     for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
