@@ -9,6 +9,7 @@ from skuforge import rules
 from skuforge.functions.similarity import text_similarity
 from skuforge.functions.text import normalize_text, strip, text
 from skuforge.operators.kpis import pct
+from skuforge.sources.feed import with_row_ids
 
 C = F.col
 
@@ -18,15 +19,19 @@ def match_key(c: Column) -> Column:
 
 
 def truth_by_key(truth: DataFrame, order: str, last: bool = True) -> DataFrame:
-    """One truth row per part number: of several the last (or first) in `order`. Partial results
-    are merged before the shuffle, so many copies of one key cost nothing."""
+    """One truth row per part number: of several the last (or first) in `order`, a number that no two rows share.
+
+    Only the number of the winner goes through the aggregate (a hash aggregate, merged before its shuffle, so many copies
+    of one key cost nothing); the row itself is fetched by it, and only the columns that somebody reads.
+    """
     columns = [c for c in truth.columns if c != order]
     keyed = truth.select(
-        match_key(C("Mfg_Part_Num")).alias("truth_key"), C(order).alias("_order"),
+        match_key(C("Mfg_Part_Num")).alias("truth_key"), C(order).cast("bigint").alias("_order"),
         F.struct(*[C(f"`{c}`") for c in columns]).alias("truth"),
-    )
-    pick = F.max_by if last else F.min_by
-    return keyed.groupBy("truth_key").agg(pick("truth", "_order").alias("truth")).where(C("truth_key") != "")
+    ).where(C("truth_key") != "")
+    pick = F.max if last else F.min
+    winner = keyed.groupBy("truth_key").agg(pick("_order").alias("_order"))
+    return keyed.join(winner, ["truth_key", "_order"], "left_semi").select("truth_key", "truth")
 
 
 def truth_join(results: DataFrame, truth: DataFrame, order: str = "truth_id") -> DataFrame:
@@ -38,17 +43,18 @@ def truth_join(results: DataFrame, truth: DataFrame, order: str = "truth_id") ->
 
 
 def row_detail(results: DataFrame, truth: DataFrame, row_id: int, order: str = "truth_id") -> DataFrame:
-    """One result row with its first truth row, if any."""
+    """One result row with its first truth row, if any. Truth rows of other keys are left out before anything else."""
     row = results.where(C("row_id") == row_id).withColumn(
         "truth_key", F.when(C("enriched").isNotNull(), match_key(C("enriched")["mfg_part_num"]))
     )
-    return row.join(truth_by_key(truth, order, last=False), "truth_key", "left")
+    own = truth.join(row.select("truth_key").limit(1), match_key(C("Mfg_Part_Num")) == C("truth_key"), "left_semi")
+    return row.join(truth_by_key(own, order, last=False), "truth_key", "left")
 
 
 def truth_benchmark(results: DataFrame, truth: DataFrame, order: str = "truth_id") -> DataFrame:
     """Per field: rows compared, exact and normalised match rate; plus the overall rate, the
     number of truth rows and of matched rows. Empty if nothing matched."""
-    joined = truth_join(results, truth, order)
+    joined = truth_join(results, truth.select("Mfg_Part_Num", order, *rules.SCORED_FIELDS), order)
     counts = []
     for i, field in enumerate(rules.SCORED_FIELDS):
         want = text(C("truth").getField(field))
@@ -60,7 +66,7 @@ def truth_benchmark(results: DataFrame, truth: DataFrame, order: str = "truth_id
         ]
     one = joined.agg(F.count(F.lit(1)).alias("matched_rows"), *counts)
     keys = truth.select(match_key(C("Mfg_Part_Num")).alias("k")).where(C("k") != "")
-    total = keys.agg(F.count_distinct("k").alias("ground_truth_rows"))
+    total = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("ground_truth_rows"))
     one = one.withColumn("ground_truth_rows", total.scalar())
     n = range(len(rules.SCORED_FIELDS))
     scored = sum((F.when(C(f"n{i}") > 0, 1).otherwise(0) for i in n), F.lit(0))
@@ -89,6 +95,14 @@ def zip_join(predicted: DataFrame, truth: DataFrame, key: str = "row_index") ->
     return p.join(t, key)
 
 
+def zip_rows(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Row i of one frame with row i of the other, counted from 1 in their order, as structs; as long as the shorter side.
+
+    Neither side needs a key: ordinals come from the counts of partitions, and both sides are dealt out by them.
+    """
+    return zip_join(with_row_ids(predicted, "row_index"), with_row_ids(truth, "row_index"))
+
+
 def score_rows(pairs: DataFrame) -> DataFrame:
     """Scores each (pred, gt) pair of delivery-shaped structs."""
 

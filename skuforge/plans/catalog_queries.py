@@ -203,6 +203,36 @@ def check_columns(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("rows_checked")).withColumn("missing", F.lit(", ".join(fd.missing_columns(rows.columns))))
 
 
+_VARIANTS = [("fit", None), ("no-maker", "missing columns: Part_Manuf"), ("no-ids", "missing columns: Mfg_Part_Num, DIB_Brand"), ("twice", "duplicate columns: part_desc"), ("blank", "the file is empty")]
+
+
+@query("check_feed_files", "select v as variant, case v " + " ".join(f"when '{v}' then {'null' if p is None else repr(p)}" for v, p in _VARIANTS)
+       + " end as problem, case when v = 'fit' then (select count(*) from part where p_partkey % 4 = 0) end as rows_read from (select unnest(["
+       + ", ".join(f"'{v}'" for v, _ in _VARIANTS) + "]) as v)")
+def check_feed_files(spark, sf_dir):
+    """Feeds with absent and repeated columns and without a line: what the header check says of each, and the rows of the fit one."""
+    base = f"{shared_folder(spark)}/skuforge/feed-variants-{uuid.uuid4().hex}"
+    rows = feed(spark, sf_dir).where(C("row_id") % 4 == 1).drop("row_id").coalesce(1)
+    write_feed(rows, f"{base}/fit")
+    write_feed(rows.drop("Part_Manuf"), f"{base}/no-maker")
+    write_feed(rows.drop("Mfg_Part_Num", "DIB_Brand"), f"{base}/no-ids")
+    lines = rows.select(F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(C(f"`{c}`"), F.lit('"'), F.lit('""')), F.lit('"')) for c in rules.REQUIRED_COLUMNS], F.lit("x")).alias("value"))
+    spark.createDataFrame([(", ".join([*rules.REQUIRED_COLUMNS, " PART_DESC "]).replace(", ", ","),)], "value string").union(lines).coalesce(1).write.text(f"{base}/twice")
+    spark.createDataFrame([(" ",)], "value string").coalesce(1).write.text(f"{base}/blank")
+    said = fd.check_files(spark, f"{base}/*").select(F.regexp_extract("file", "/([a-z-]+)/part-[^/]*$", 1).alias("variant"), "problem")
+    read = fd.read_feed(spark, f"{base}/fit").agg(F.count(F.lit(1)).alias("rows_read")).select(F.lit("fit").alias("variant"), "rows_read")
+    return said.join(read, "variant", "left")
+
+
+@query("blank_rows", "select p_partkey + 1 as row_id, p_name as \"Part_Desc\" from part where p_partkey % 7 <> 3")
+def blank_rows(spark, sf_dir):
+    """Rows without any cell, as spreadsheets leave them behind, are skipped."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    has = C("p_partkey") % 7 != 3
+    cells = [F.when(has, C("p_name")).alias("Part_Desc"), F.when(has & (C("p_size") > 10), C("p_brand")).alias("E1_Brand")]
+    return fd.drop_blank_rows(part.select((C("p_partkey") + 1).alias("row_id"), *cells)).select("row_id", "Part_Desc")
+
+
 @query("duplicate_headers", "select lower(trim(p_name)) as name, count(*) as uses from part where trim(p_name) <> '' group by 1 having count(*) > 1")
 def duplicate_headers(spark, sf_dir):
     """The duplicate-name rule as an aggregate, on part names as header cells."""
@@ -896,6 +926,15 @@ def zip_join(spark, sf_dir):
     )
 
 
+@query("zip_rows", """select i as row_index, a.p_name as pred_name, b.n as gt_total from (select row_number() over (order by p_partkey) as i, p_name from part) a
+join (select row_number() over (order by o_orderkey) as i, o_totalprice as n from orders) b using (i)""")
+def zip_rows(spark, sf_dir):
+    """Parts in order of their key beside orders in order of theirs: neither frame carries a number, and one is longer."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    pairs = tr.zip_rows(read("part").sort("p_partkey").select("p_name"), read("orders").sort("o_orderkey").select("o_totalprice"))
+    return pairs.select("row_index", C("pred")["p_name"].alias("pred_name"), C("gt")["o_totalprice"].alias("gt_total"))
+
+
 # SHORT_DESC of the truth is the predicted text plus ' New'; after sorting, the predicted words are a
 # subsequence of the truth's, so the LCS is the length of the shorter text.
 _SCORED = """, scored as (select res.row_id as row_index, lower(trim(t_mfg)) = lower(trim(mfg)) as mfg_match, trim(t_brand) = trim(bctx) as brand_match, length(invoice_desc) <= 40 as inv_len,
@@ -1082,4 +1121,20 @@ def stream_counters(spark, sf_dir):
     return rows.agg(*[F.sum(c).alias(c) for c in ("processed", "success", "review", "errors")])
 
 
+@query("stream_feed_files", res("""select row_number() over (order by row_id % 2, row_id) as row_id, "Part_Desc" as part_desc, status, processed from res
+join (select row_id % 2 as half, count(*) as processed from res group by 1) on half = row_id % 2"""))
+def stream_feed_files(spark, sf_dir):
+    """A micro-batch of a fit and an unfit feed file, then one of another: ids go on, counters come from the written rows."""
+    target = _fresh(pl.tune(spark), "stream-files")
+    rows = feed(spark, sf_dir)
+    for half in range(2):
+        write_feed(rows.where(C("row_id") % 2 == half).coalesce(1).sortWithinPartitions("row_id").drop("row_id"), f"{target}/in/{half}")
+        if half == 0:
+            write_feed(rows.drop("row_id", "Part_Desc").coalesce(1), f"{target}/in/unfit")
+        ingest.stream_feed_files(spark, f"{target}/in/*", f"{target}/out", f"{target}/checkpoint").awaitTermination()
+    counters = spark.read.option("basePath", f"{target}/out/counters").parquet(f"{target}/out/counters").select("batch", "processed")
+    out = spark.read.option("basePath", f"{target}/out/rows").parquet(f"{target}/out/rows")
+    return out.join(counters, "batch").select("row_id", "part_desc", "status", "processed")
+
+
 __all__ = ["ORACLES", "QUERIES", "flat_results", "layer"]

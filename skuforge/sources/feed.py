@@ -51,7 +51,7 @@ def duplicate_names(columns: Sequence[str | None]) -> list[str]:
     return [n for n in dict.fromkeys(names) if names.count(n) > 1]
 
 
-def layouts(spark: SparkSession, path: str) -> list[Layout]:
+def layouts(spark: SparkSession, path: str | list[str]) -> list[Layout]:
     """The header lines of all files under path (the first line of a file that is not blank), with
     their files in order. Files without a line are left out.
 
@@ -72,13 +72,13 @@ def layouts(spark: SparkSession, path: str) -> list[Layout]:
     return [Layout(_header(spark, path, names[0]), broken, names) for (_, broken), names in found.items()]
 
 
-def _header(spark: SparkSession, path: str, file: str) -> list[str]:
+def _header(spark: SparkSession, path: str | list[str], file: str) -> list[str]:
     first = spark.read.text(path).where((C(_FILE) == file) & (C(_BLOCK) == 0) & C("value").rlike(_FILLED)).select("value").first()
     return next(csv.reader([first[0].lstrip("\ufeff")]))
 
 
 def read_csv(
-    spark: SparkSession, path: str, multi_line: bool | None = None, positions: bool = False,
+    spark: SparkSession, path: str | list[str], multi_line: bool | None = None, positions: bool = False,
     checked: Callable[[list[str]], list[str]] | None = None,
 ) -> DataFrame:
     """CSV with every cell as text; missing cells are ''. Columns go by name: files may have their
@@ -122,7 +122,7 @@ def contract_names(names: list[str]) -> list[str]:
     return [contract.get(c.strip().lower(), c) for c in names]
 
 
-def read_feed(spark: SparkSession, path: str, multi_line: bool | None = None, positions: bool = False) -> DataFrame:
+def read_feed(spark: SparkSession, path: str | list[str], multi_line: bool | None = None, positions: bool = False) -> DataFrame:
     """A checked feed of one or more files with its columns under their contract names; raises
     FeedError if any file's header is unfit. See read_csv for the other arguments."""
     rows = read_csv(spark, path, multi_line, positions, contract_names)
@@ -131,9 +131,26 @@ def read_feed(spark: SparkSession, path: str, multi_line: bool | None = None, po
     return rows
 
 
+def check_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Rows (file, columns, problem): what read_feed would say of each file by itself; problem is NULL for a fit header.
+
+    A row for each file; the cells are not read.
+    """
+    found = []
+    for names, _, files in layouts(spark, paths):
+        double = duplicate_names(names)
+        missing = missing_columns(names)
+        problem = f"duplicate columns: {', '.join(double)}" if double else f"missing columns: {', '.join(missing)}" if missing else None
+        found += [(f, len(names), problem) for f in files]
+    given = spark.read.format("binaryFile").load(paths).select(C("path").alias("file"))
+    checked = spark.createDataFrame(found, "file string, columns int, problem string")
+    return given.join(checked, F.regexp_replace(given["file"], "^[a-z]+:/*", "/") == F.regexp_replace(checked["file"], "^[a-z]+:/*", "/"), "left").select(
+        given["file"], F.coalesce("columns", F.lit(0)).alias("columns"), F.when(C("columns").isNull(), "the file is empty").otherwise(C("problem")).alias("problem"))
+
+
 def drop_blank_rows(df: DataFrame) -> DataFrame:
-    """Without rows whose cells are all NULL (as spreadsheets leave them behind)."""
-    return df.na.drop("all")
+    """Without rows whose cells are all NULL (as spreadsheets leave them behind); row ids do not count as cells."""
+    return df.na.drop("all", subset=[c for c in df.columns if c != "row_id"])
 
 
 def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
