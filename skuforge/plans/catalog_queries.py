@@ -36,6 +36,7 @@ from skuforge.plans.ranged import RangedResults
 from skuforge.plans.results import shared_folder, written
 from skuforge.sources import delivery_file, sample_catalog, sample_feed
 from skuforge.sources import feed as fd
+from skuforge.sources import records as rc
 from skuforge.streaming import ingest
 
 C = F.col
@@ -217,13 +218,35 @@ def check_feed_files(spark, sf_dir):
     write_feed(rows.drop("Part_Manuf"), f"{base}/no-maker")
     write_feed(rows.drop("Mfg_Part_Num", "DIB_Brand"), f"{base}/no-ids")
     lines = rows.select(F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(C(f"`{c}`"), F.lit('"'), F.lit('""')), F.lit('"')) for c in rules.REQUIRED_COLUMNS], F.lit("x")).alias("value"))
-    spark.createDataFrame([(", ".join([*rules.REQUIRED_COLUMNS, " PART_DESC "]).replace(", ", ","),)], "value string").union(lines).coalesce(1).write.text(f"{base}/twice")
+    head = spark.createDataFrame([(0, ",".join([*rules.REQUIRED_COLUMNS, " PART_DESC "]))], "at int, value string")
+    head.union(lines.select(F.lit(1).alias("at"), "value")).repartition(1).sortWithinPartitions("at").select("value").write.text(f"{base}/twice")
     spark.createDataFrame([(" ",)], "value string").coalesce(1).write.text(f"{base}/blank")
     said = fd.check_files(spark, f"{base}/*").select(F.regexp_extract("file", "/([a-z-]+)/part-[^/]*$", 1).alias("variant"), "problem")
     read = fd.read_feed(spark, f"{base}/fit").agg(F.count(F.lit(1)).alias("rows_read")).select(F.lit("fit").alias("variant"), "rows_read")
     return said.join(read, "variant", "left")
 
 
+_FAULTS = """from (select row_number() over (order by p_partkey) as row_id, p_partkey as k, p_name, p_size from part)"""
+_FAULT = """case when k % 11 = 3 then 'malformed record: 2 cells, expected 6' when k % 11 = 5 then 'malformed record: 8 cells, expected 6' end"""
+
+
+@query("feed_faults", f"""select row_id, case when k % 11 in (3, 5) then 'error' else 'sound' end as status, {_FAULT} as message, case when k % 11 = 3 then p_name when k % 11 = 7 then p_name || chr(10) || 'size "' || p_size || '"' else p_name || ' 5"' end as part_desc,
+case when k % 11 in (3, 5) then length(case k % 11 when 3 then 'P' || k || ',' || p_name else 'P' || k || ',' || p_name || ' 5",,,,maker,x,y' end) end as record_length {_FAULTS}""")
+def feed_faults(spark, sf_dir):
+    """A feed with short and long records, line breaks inside cells and inch marks in bare cells, read range by range."""
+    k, name = C("p_partkey"), C("p_name")
+    number = F.concat(F.lit("P"), k.cast("string"))
+    line = F.when(k % 11 == 3, F.concat_ws(",", number, name)).when(k % 11 == 5, F.concat(number, F.lit(","), name, F.lit(' 5",,,,maker,x,y'))).when(
+        k % 11 == 7, F.concat(number, F.lit(',"'), name, F.lit('\nsize ""'), C("p_size").cast("string"), F.lit('""",,,,maker'))).otherwise(F.concat(number, F.lit(","), name, F.lit(' 5",,,,maker')))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("at"), line.alias("value"))
+    path = f"{shared_folder(spark)}/skuforge/feed-faults-{uuid.uuid4().hex}"
+    head = spark.createDataFrame([(-1, ",".join(rules.REQUIRED_COLUMNS))], "at long, value string")
+    head.union(part).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    rows = rc.read_records(spark, path)
+    bad = rc.error_records(rows).select("row_id", "status", "message", F.length("record").alias("record_length"))
+    return rows.select("row_id", C("Part_Desc").alias("part_desc")).join(bad, "row_id", "left").withColumn("status", F.coalesce("status", F.lit("sound"))).withColumn("record_length", C("record_length").cast("bigint"))
+
+
 @query("blank_rows", "select p_partkey + 1 as row_id, p_name as \"Part_Desc\" from part where p_partkey % 7 <> 3")
 def blank_rows(spark, sf_dir):
     """Rows without any cell, as spreadsheets leave them behind, are skipped."""
