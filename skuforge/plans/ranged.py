@@ -26,6 +26,7 @@ class RangedResults:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
         self.width = int(spark.read.parquet(f"{path}/width").first()[0])
+        self.schema = spark.read.parquet(f"{path}/columns").schema
 
     @classmethod
     def write(cls, results: DataFrame, path: str, range_rows: int = RANGE_ROWS) -> RangedResults:
@@ -37,17 +38,18 @@ class RangedResults:
         spark = results.sparkSession
         spark.range(1).select(F.lit(width).alias("width")).write.parquet(f"{path}/width")
         ranged = results.withColumn("id_range", F.expr(f"row_id div {width}"))
+        ranged.limit(0).write.parquet(f"{path}/columns")
         ranged.repartition("id_range").sortWithinPartitions("id_range", "row_id").write.partitionBy("id_range").parquet(f"{path}/rows")
         out = cls(spark, path)
         out._count(out.rows()).write.partitionBy("id_range").parquet(f"{path}/index")
         return out
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows").withColumn("id_range", C("id_range").cast("bigint"))
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
 
     def index(self) -> DataFrame:
         """id_range, status, n."""
-        return self.spark.read.parquet(f"{self.path}/index").withColumn("id_range", C("id_range").cast("bigint"))
+        return self.spark.read.schema("status string, n bigint, id_range bigint").parquet(f"{self.path}/index")
 
     @staticmethod
     def _count(rows: DataFrame) -> DataFrame:
