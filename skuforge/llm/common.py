@@ -103,6 +103,13 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield begin, len(texts)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """`name`, with underscores until no column of `taken` has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def table_state(df: DataFrame) -> tuple:
     row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
     return row[0], row[1]

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuforge.llm.common import LOWER, Words, chunks, small_batches, table
+from skuforge.llm.common import LOWER, Words, chunks, free, small_batches, table
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -244,7 +244,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
             "coverage": [covered(r) / max(1, n) for n, r in zip(n_words, ranges)],
         })
 
-    fresh = _free("_clean", columns)
+    fresh = free("_clean", columns)
     found = matches(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text"), items, window)
     hit = F.size("match.ranges") > 0
     # clean documents pass by the second UDF's work: their ranges are empty
@@ -252,12 +252,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     return done.select(*[(F.col(fresh)["text"] if c == "text" else F.col("row")[c]).alias(c) for c in columns])
 
 
-def _free(name: str, taken: list[str]) -> str:
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name
-
-
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = matches(docs.select("doc_id", "text"), items, window)

@@ -1,11 +1,17 @@
 r"""Quality rules: hashed n-gram log-likelihood ratio between trusted documents and the whole corpus.
 
-Words are taken as they stand; unigrams and bigrams are hashed into `buckets` buckets. Two multinomials over the
-buckets are counted over every document: one of the trusted target (documents that all their label
-rows call good and not toxic), one of the raw corpus. A document's score is the mean log ratio of its
-n-grams. The verdict is a fixed threshold, so a document's fate depends on its text and the two
-models alone. Built-in functions only: the counts are one hash aggregate over at most `buckets` keys,
-the weights come back as a scalar subquery of fixed size, and scoring needs no shuffle.
+Words are taken as they stand; unigrams and bigrams are hashed into buckets. Two multinomials over the
+buckets are counted over every document, an n-gram once a document, so that a text that repeats itself has one voice: one of
+the trusted target (documents that all their label rows call good and not toxic), one of the raw corpus. The target is smoothed by
+PRIOR counts spread as in the raw corpus, so n-grams too rare to tell weigh nothing. A document's score is
+the mean log ratio of its n-grams. It is rejected below THRESHOLD, and also if SEVERE n-grams or more have a ratio
+below SEVERE_RATIO: words that trusted documents avoid (abuse) are few in a long text and vanish in its mean. Both are fixed,
+so a document's fate depends on its text and the two models alone.
+
+The number of buckets follows the counted n-grams up to MOST_BUCKETS. What else falls into an n-gram's bucket is, as a share of the
+documents, at most (n-grams of a document) / buckets, whatever the size of the corpus, so n-grams more frequent than that are
+told apart at any size. Built-in functions only: the counts are one hash aggregate by bucket; the ratios come back as a scalar subquery of
+4 bytes a bucket, and scoring needs no shuffle.
 
 Base rules: a document fails with fewer than 20 words, or if more than 30 of 100 words lie in 8-word
 windows that occur twice or more in it. Windows are compared by 64-bit hash inside one document.
@@ -18,11 +24,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuforge.llm.common import table
+from skuforge.llm.common import free, table
 from skuforge.plans.results import written
 
-BUCKETS = 1 << 14
-THRESHOLD = -0.1
+#: Bound of what is broadcast, 4 bytes each.
+MOST_BUCKETS = 1 << 22
+#: Buckets of one inner array of the ratios.
+PART = 1 << 12
+PRIOR = 16.0
+THRESHOLD = -0.06
+SEVERE_RATIO = -1.0
+SEVERE = 2
+#: Trusted ids that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 MIN_WORDS = 20
 MAX_REPEATED = 30
 WINDOW = 8
@@ -71,24 +85,26 @@ def repeated_words(pairs: Column) -> Column:
     return let(neighbours(pairs, 2), lambda fours: let(neighbours(fours, 4), covered))
 
 
-def figures(text: Column, weight: Column, buckets: int = BUCKETS) -> Column:
-    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: long; llr: double).
+def figures(text: Column, ratios: Column) -> Column:
+    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: long; llr: double; n_severe: int).
 
-    llr is the mean log ratio of the n-grams, 0 for a text without words.
+    ratios: array of arrays of PART log ratios. llr is the mean log ratio of the n-grams, 0 for a text without words.
     """
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    at = lambda h: F.get(weight, F.pmod(h, F.lit(buckets)).cast("int"))
+    buckets = F.size(ratios) * PART
+    at = lambda h: let(F.pmod(h, buckets).cast("int"), lambda b: F.get(F.get(ratios, F.shiftright(b, 12)), b.bitwiseAND(PART - 1)))
 
     def of(w: Column, pairs: Column) -> Column:
-        total = F.aggregate(pairs, F.aggregate(w, F.lit(0.0), lambda s, a: s + at(F.xxhash64(a))), lambda s, h: s + at(h))
-        return F.struct(
+        score = let(F.concat(F.transform(w, lambda a: at(F.xxhash64(a))), F.transform(pairs, at)), lambda r: F.struct(
+            (F.aggregate(r, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(r), F.lit(1))).alias("llr"), F.size(F.filter(r, lambda x: x < SEVERE_RATIO)).alias("n_severe")))
+        return let(score, lambda r: F.struct(
             F.size(w).cast("bigint").alias("n_words"),
             F.char_length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
             F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
             repeated_words(pairs).alias("n_repeat_words"),
-            F.when(F.size(w) == 0, F.lit(0.0)).otherwise(total / (F.size(w) + F.size(pairs))).alias("llr"))
+            F.when(F.size(w) == 0, F.lit(0.0)).otherwise(r["llr"]).alias("llr"), r["n_severe"].alias("n_severe")))
 
     return let(words(t), lambda w: let(neighbours(w, 1), lambda pairs: of(w, pairs)))
 
@@ -98,39 +114,48 @@ def trusted(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0").select("doc_id")
 
 
-def weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row: array of `buckets` log ratios. Counts cover every document and all its n-grams."""
-    marked = docs.select("doc_id", "text").join(target.select("doc_id", F.lit(1).alias("hit")).hint("shuffle_hash"), "doc_id", "left")
+def log_ratios(docs: DataFrame, target: DataFrame, most_buckets: int = MOST_BUCKETS) -> DataFrame:
+    """One row: array of arrays of PART log ratios, by bucket. Counts cover every document and all its n-grams."""
+    spark, target = docs.sparkSession, written(target, "quality-target")
+    ids = target.select("doc_id", F.lit(1).alias("hit"))
+    ids = F.broadcast(ids) if target.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left")
     counts = (
         # explode_outer: explode would have the array worked out again to test that it is not empty
-        marked.select(F.coalesce("hit", F.lit(0)).alias("hit"), let(words(F.col("text")), grams).alias("grams"))
+        marked.select(F.coalesce("hit", F.lit(0)).alias("hit"), let(words(F.col("text")), lambda w: F.array_distinct(grams(w))).alias("grams"))
         .select("hit", F.explode_outer("grams").alias("h")).where("h is not null")
-        .groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("raw"), F.sum("hit").alias("hit"))
+        .groupBy(F.pmod("h", F.lit(most_buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("raw"), F.sum("hit").alias("hit"))
     )
     counts = written(counts, "quality-counts")
-    spark = docs.sparkSession
-    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
-    rows = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "hit"))).alias("rows"), F.sum("raw").alias("all_raw"), F.sum("hit").alias("all_hit"))
-    log_p = lambda c, total: F.log((c + 1) / (F.col(total) + buckets))
+    found = counts.agg(F.count("*"), F.sum("raw"), F.sum("hit")).first()
+    # a power of two that divides most_buckets, so counts of small corpora fold
+    buckets = min(most_buckets, max(PART, 1 << (4 * found[0]).bit_length()))
+    folded = counts.groupBy((F.col("bucket") % buckets).alias("bucket")).agg(F.sum("raw").alias("raw"), F.sum("hit").alias("hit"))
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(folded, "bucket", "left").na.fill(0)
     # without a trusted document the ratio says nothing
-    return written(rows.select(F.when(F.col("all_hit") > 0, F.transform("rows", lambda r: log_p(r["hit"], "all_hit") - log_p(r["raw"], "all_raw")))
-                               .otherwise(F.transform("rows", lambda r: F.lit(0.0))).alias("weights")), "quality-weights")
+    share = (found[2] or 0) / (found[1] or 1)
+    ratio = F.log((F.col("hit") + PRIOR) / (F.col("raw") * share + PRIOR)) if share else F.lit(0.0)
+    parts = every.groupBy(F.shiftright("bucket", 12).alias("part")).agg(F.sort_array(F.collect_list(F.struct("bucket", ratio.cast("float").alias("ratio"))))["ratio"].alias("ratios"))
+    return written(parts.agg(F.sort_array(F.collect_list(F.struct("part", "ratios")))["ratios"].alias("ratios")), "quality-ratios")
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """docs with a struct column `quality`: the base figures, base_failed, llr and kept.
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_buckets: int = MOST_BUCKETS, name: str = "quality") -> DataFrame:
+    """docs with a struct column `name`: the base figures, base_failed, llr, n_severe and kept.
 
-    docs: doc_id, text and any other columns but `quality`. Null and blank texts fail the base rules.
-    A document is rejected if it fails the base rules or its mean log ratio is below the threshold.
+    docs: doc_id, text and any other columns but `name`. Null and blank texts fail the base rules. Repeated rows are judged alike.
+    A document is rejected if it fails the base rules, its mean log ratio is below the threshold or SEVERE of its n-grams are below SEVERE_RATIO.
     """
-    ratio = weights(docs, trusted(labels), buckets)
+    ratios = log_ratios(docs, trusted(labels), most_buckets)
+    held = free("_ratios", docs.columns)
+    found = free("_figures", [*docs.columns, held])
     # the subquery stands below the lambdas, where the optimizer merges it into the same projection
-    out = docs.withColumn("_weights", ratio.scalar()).withColumn("_figures", figures(F.col("text"), F.col("_weights"), buckets)).drop("_weights")
-    f = F.col("_figures")
+    out = docs.withColumn(held, ratios.scalar()).withColumn(found, figures(F.col("text"), F.col(held))).drop(held)
+    f = F.col(found)
     failed = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEATED * f["n_words"])
-    return out.withColumn("quality", F.struct(
+    return out.withColumn(name, F.struct(
         *[f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        failed.alias("base_failed"), f["llr"].alias("llr"), (~failed & (f["llr"] >= threshold)).alias("kept"))).drop("_figures")
+        failed.alias("base_failed"), f["llr"].alias("llr"), f["n_severe"].alias("n_severe"),
+        (~failed & (f["llr"] >= threshold) & (f["n_severe"] < SEVERE)).alias("kept"))).drop(found)
 
 
 def op1_quality_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
