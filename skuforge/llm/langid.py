@@ -16,6 +16,8 @@ another language over the best single one, the constant path is the best path.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,9 @@ SAMPLE_DOCS = 20_000
 PENALTY = 24.0
 OUTSIDE = -40.0  # a word in a script that the language does not use
 SCRIPT_SHARE = 0.01
-LETTERS = re.compile(r"[^\W\d_]+")
+# word characters of Unicode that are numbers but no decimal digits, such as fractions and Roman numerals
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c) in ("Nl", "No"))
+LETTERS = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
 UND = "und"
 
 # First code point of each script range, in order; "other" fills the gaps.
