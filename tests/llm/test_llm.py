@@ -3,14 +3,16 @@ repeated rows and extra columns."""
 
 import collections
 import hashlib
+import math
 import random
 import uuid
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from skuforge.llm import contamination, edit_counts, langid, licences, pieces, quality, recompress, simhash, surrogates, warc
+from skuforge.llm import contamination, edit_counts, langid, licences, near, pieces, quality, recompress, simhash, surrogates, warc
 from skuforge.plans.results import shared_folder
 
 RND = random.Random(5)
@@ -95,6 +97,7 @@ def test_no_rows(nothing, spark):
     assert edit_counts.recount(nothing).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judged(nothing, labels).count() == 0
+    assert near.near_duplicates(nothing.select("doc_id", F.lit("").alias("text_key"), "text")).count() == 0
     model = langid.train(nothing.withColumn("lang", F.lit("en")))
     assert langid.identify(nothing, model).count() == 0
 
@@ -176,6 +179,39 @@ def test_near_stage_drops_edited_copies_and_no_other(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
+def test_template_pages_are_no_candidates(spark, monkeypatch):
+    """Pages of 100 equal and 18 own words each stay below the similarity; candidates grow with the pages, not their square."""
+    seen = {}
+    kept = near.written
+    monkeypatch.setattr(near, "written", lambda df, name: seen.setdefault(name, kept(df, name)))
+    rows = [(i, str(i), prose(100, 1) + " " + " ".join(f"w{i}x{k}" for k in range(18))) for i in range(300)]
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text_key string, text string")).collect()
+    assert all(r["first"]["doc_id"] == r["doc_id"] for r in found) and len(found) == 300
+    assert seen["near-stars"].count() + seen["near-rest"].count() <= 300
+
+
+def test_bounds_of_similar_sets_never_reject():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(r.integers(1, 400))
+        x = np.unique(r.integers(-2**62, 2**62, n))
+        y = np.unique(np.concatenate([x[r.random(len(x)) < 0.9], r.integers(-2**62, 2**62, int(r.integers(0, n // 8 + 1)))]))
+        assert near.apart(near.parity(x), near.parity(y)) <= len(np.setxor1d(x, y))
+    assert near.apart(near.parity(x), near.parity(x)) == 0
+
+
+def test_near_stage_clashing_columns_and_repeated_rows(spark):
+    import corpus_pipeline
+
+    rows = [(1, prose(60, 1), "a", 7), (1, prose(60, 1), "a", 7), (1, prose(60, 1), "b", 7), (2, prose(60, 1), "c", 8), (3, prose(60, 2), "d", 9), (None, prose(60, 1), "e", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string, copies int")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    got = [tuple(r) for r in got.collect()]
+    assert len(got) == 3 and (3, prose(60, 2), "d", 9) in got and (None, prose(60, 1), "e", 1) in got
+    assert [r[3] for r in got if r[0] == 1] == [7]
+
+
 def test_near_stage_keeps_distinct_texts_of_one_id(spark):
     import corpus_pipeline
 
@@ -228,7 +264,51 @@ def test_quality_base_figures_and_verdict(spark, docs):
         assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"]) == (
             len(w), sum(len(x.decode()) for x in w), sum(t.count(s) for s in "#*$%&|<>"), len(lines) - len(set(lines)), len(inside))
         assert q["base_failed"] == (len(w) < 20 or 100 * len(inside) > 30 * len(w))
-        assert q["kept"] == (not q["base_failed"] and q["llr"] >= quality.THRESHOLD)
+        assert q["kept"] == (not q["base_failed"] and q["llr"] >= quality.THRESHOLD and q["n_severe"] < quality.SEVERE)
+
+
+def test_quality_ratios_match_brute_force(spark):
+    insult = " you total clown and utter clown "
+    rows = [(i, prose(60, i) + (insult if i % 10 == 0 else "")) for i in range(900)] + [(900, prose(40, 1) + insult), (901, None), (902, prose(40, 2))]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(900) if i % 3], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, t, i, "x", "y") for i, t in rows], "doc_id long, text string, quality int, _figures string, _ratios string")
+    got = quality.judged(docs, labels, name="verdict")
+    assert got.columns == [*docs.columns, "verdict"]
+    seed = lambda data, s=42: xxhash.xxh64_intdigest(data, s)
+
+    def grams(t):
+        w = (t or "").encode().split()
+        return [x - (1 << 64) if x >> 63 else x for x in [seed(a) for a in w] + [seed(b, seed(a)) for a, b in zip(w, w[1:])]]
+
+    trusted = {i for i in range(900) if i % 3 and i % 10}
+    raw, hit = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        for g in set(grams(t)):
+            raw[g % quality.MOST_BUCKETS] += 1
+            hit[g % quality.MOST_BUCKETS] += i in trusted
+    buckets = min(quality.MOST_BUCKETS, max(quality.PART, 1 << (4 * len(raw)).bit_length()))
+    raw2, hit2 = collections.Counter(), collections.Counter()
+    for k, n in raw.items():
+        raw2[k % buckets] += n
+        hit2[k % buckets] += hit[k]
+    share = sum(hit.values()) / sum(raw.values())
+    for r in got.collect():
+        ratios = [math.log((hit2[g % buckets] + quality.PRIOR) / (raw2[g % buckets] * share + quality.PRIOR)) for g in grams(r["text"])]
+        assert r["verdict"]["llr"] == pytest.approx(sum(ratios) / len(ratios) if ratios else 0, abs=1e-5)
+        assert r["verdict"]["n_severe"] == sum(x < quality.SEVERE_RATIO for x in ratios)
+        assert r["quality"] == r["doc_id"] and (r["_figures"], r["_ratios"]) == ("x", "y")
+    kept = {r["doc_id"] for r in got.where("verdict.kept").collect()}
+    assert 900 not in kept and 902 in kept and not {i for i in range(900) if i % 10 == 0} & kept
+
+
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1
+    found = quality.judged(docs.select("doc_id", "text"), labels.where(~odd)).where("not quality.base_failed").select("doc_id", "quality.kept", "text")
+    abuse = F.col("text").rlike(r"(?i)\b(idiot|trash|moron|scum|loser|clown|stupid|worthless|pathetic|disgusting)\b")
+    rows = found.join(labels.where(odd), "doc_id").groupBy((F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"), abuse.alias("abuse")).agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {(r["good"], r["toxic"], r["abuse"]): r["kept"] for r in rows}
+    assert kept[True, False, False] > 0.99 and kept[True, True, True] < 0.1 and kept[False, False, False] < 0.1
 
 
 def test_quality_without_labels_rejects_by_base_rules_alone(spark, docs):
@@ -242,10 +322,10 @@ def test_languages_spans_and_scripts(spark):
     rows = [(i, en * 8, "en") for i in range(20)] + [(i + 20, de * 8, "de") for i in range(20)] + [(i + 40, el * 8, "el") for i in range(20)] + [(99, en, None), (98, None, "en")]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.langs == ["de", "el", "en"]
-    probe = spark.createDataFrame([(1, en * 6 + de * 9), (2, el), (3, None), (4, "123 ..."), (5, ""), (6, de), (7, "語語")], "id long, text string")
+    probe = spark.createDataFrame([(1, en * 6 + de * 9), (2, el), (3, None), (4, "123 ..."), (5, ""), (6, de), (7, "語語"), (8, "½ ² Ⅷ ①")], "id long, text string")
     got = {r["id"]: r["language"] for r in langid.identify(probe, model).collect()}
     assert [s["lang"] for s in got[1]["spans"]] == ["en", "de"] and got[1]["spans"][0]["end"] == 48 and got[1]["lang"] == "de"
-    assert (got[2]["lang"], got[6]["lang"]) == ("el", "de") and {got[k]["lang"] for k in (3, 4, 5)} == {"und"} and got[7]["lang"] in model.langs
+    assert (got[2]["lang"], got[6]["lang"]) == ("el", "de") and {got[k]["lang"] for k in (3, 4, 5, 8)} == {"und"} and got[7]["lang"] in model.langs
 
 
 def test_viterbi_shortcut_is_exact():
