@@ -28,7 +28,7 @@ from skuforge.llm.common import free, table
 from skuforge.plans.results import written
 
 #: Bound of what is broadcast, 4 bytes each.
-MOST_BUCKETS = 1 << 22
+MOST_BUCKETS = 1 << 20
 #: Buckets of one inner array of the ratios.
 PART = 1 << 12
 PRIOR = 16.0
