@@ -7,9 +7,10 @@ distributors are data:
   are built from blocks of bounded size; a larger keyword table takes further passes, not more memory.
 * Everything that depends on the supplier name alone is worked out once for each distinct name: distributor
   rules, exact match, and the most similar manufacturer among those that are still open.
-* The most similar manufacturer is an exact search. Names shorter or longer than the floor allows are out; of the others,
-  the number of shared characters bounds the similarity, and names are compared in falling order of
-  that bound until none can win. Catalog names come in blocks of bounded size, too.
+* The most similar manufacturer is an exact search. Names of the same words are found by a join. For the others names shorter or
+  longer than the floor allows are out; then bitmaps of the characters bound the similarity, and names are compared, thousands at once, in
+  falling order of that bound until none can win. Catalog names come in blocks of bounded size; a later block starts with
+  the best of the earlier ones, and names are dealt over tasks by the pairs that they make.
 
 The verdicts are joined back by name; Spark decides by size whether that needs a shuffle, and splits a hot name.
 """
@@ -37,8 +38,11 @@ UNKNOWN = ("Unknown Manufacturer", "Unknown Brand")
 AUTOMATON_CHARS = 1 << 20
 #: Catalog names that a similarity pass broadcasts.
 NAMES_BLOCK = 1 << 15
-#: Character classes of the bound: characters share a class by code point, which can only raise the bound.
-CLASSES = 64
+#: 64-bit words of the bitmap of a name's characters: characters that share a bit can only raise the bound.
+MARK_WORDS = 4
+#: Pairs of names that a task bounds, and that one scan compares.
+PAIRS_A_TASK = 1 << 27
+PAIRS_A_SCAN = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -128,62 +132,105 @@ def every_keyword(rows: DataFrame, column: str, keywords: DataFrame, out: str, b
 
 
 # ------------------------------------------------------------------------------------------- names
-def _classes(names: Sequence[str]) -> np.ndarray:
-    """How many characters of each class every name has."""
-    out = np.zeros((len(names), CLASSES), np.uint8 if all(len(n) < 256 for n in names) else np.uint32)
-    for i, name in enumerate(names):
-        np.add.at(out[i], np.fromiter(map(ord, name), np.int64, len(name)) % CLASSES, 1)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+
+
+def _marks(codes: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    """MARK_WORDS bitmap words for each owner: the k-th occurrence of a character in its text sets one bit."""
+    order = np.lexsort((codes, owner))
+    codes, owner = codes[order], owner[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])
+    begin = np.flatnonzero(new)
+    nth = np.arange(len(codes)) - np.repeat(begin, np.diff(np.append(begin, len(codes))))
+    at = (codes * 37 + nth * 101) % (64 * MARK_WORDS)
+    out = np.zeros((MARK_WORDS, owners), np.uint64)
+    np.bitwise_or.at(out, (at >> 6, owner), np.uint64(1) << (at & 63).astype(np.uint64))
     return out
 
 
-def _masks(name: str) -> dict[str, int]:
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(name):
-        masks[ch] = masks.get(ch, 0) | 1 << i
-    return masks
-
-
-def _lcs(masks: dict[str, int], length: int, other: str) -> int:
-    """Longest common subsequence: one row of the table in the bits of a number."""
-    full = (1 << length) - 1
-    v = full
-    for ch in other:
-        u = v & masks.get(ch, 0)
-        v = ((v + u) | (v - u)) & full
-    return length - v.bit_count()
-
-
 class NameIndex:
-    """Catalog names in order of their length, with their characters by class."""
+    """Catalog names in order of their length, as character numbers and bitmaps of their characters."""
 
     def __init__(self, names: Sequence[tuple[str, int]], floor: float) -> None:
         names = sorted(names, key=lambda n: (len(n[0]), n[1]))
-        self.names, self.pri = [n for n, _ in names], [p for _, p in names]
-        self.sizes = np.array([len(n) for n in self.names])
-        self.classes = _classes(self.names)
+        self.pri = np.array([p for _, p in names], np.int64)
+        self.sizes = np.array([len(n) for n, _ in names], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        codes = _codes("".join(n for n, _ in names))
+        self.alphabet, chars = np.unique(codes, return_inverse=True)
+        self.chars = chars.astype(np.int32)
+        self.marks = _marks(codes, np.repeat(np.arange(len(names)), self.sizes), len(names))
+        self.held = np.bitwise_count(self.marks).sum(axis=0, dtype=np.int64)
         self.floor = floor
 
-    def best(self, name: str) -> tuple[float, int] | None:
-        """(similarity, pri) of the most similar name, the smallest pri among equals; None below the floor."""
+    def _bounds(self, name: str, lo: int, hi: int) -> np.ndarray:
+        """Upper bounds of the similarity: a bit that only one of two bitmaps has stands for a character without a partner."""
+        own = _marks(_codes(name), np.zeros(len(name), np.int64), 1)[:, 0]
+        both = np.zeros(hi - lo, np.int16)
+        for word, mark in zip(self.marks, own):
+            if mark:
+                both += np.bitwise_count(word[lo:hi] & mark)
+        sizes, loose = self.sizes[lo:hi], len(name) - int(np.bitwise_count(own).sum())
+        return 2 * (both + np.minimum(loose, sizes - self.held[lo:hi])) / (sizes + len(name))
+
+    def _masks(self, name: str) -> np.ndarray:
+        """For each character of the catalog the places that it has in the name, in 64-bit words."""
+        codes, place = _codes(name), np.arange(len(name))
+        masks = np.zeros((-(-len(name) // 64), len(self.alphabet)), np.uint64)
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        known = self.alphabet[at] == codes
+        np.bitwise_or.at(masks, (place[known] >> 6, at[known]), np.uint64(1) << (place[known] & 63).astype(np.uint64))
+        return masks
+
+    def _lcs(self, masks: np.ndarray, size: int, which: np.ndarray) -> np.ndarray:
+        """Longest common subsequences of a name of this size with the names `which`, longest first: all of them character
+        by character, a row of each table in the bits of 64-bit words."""
+        at, sizes = self.starts[which], self.sizes[which]
+        free = np.full((len(masks), len(which)), ~np.uint64(0))
+        left = len(which) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
+        for j, n in enumerate(left.tolist()):
+            char, carry = self.chars[at[:n] + j], None
+            for w, mask in enumerate(masks):
+                v = free[w, :n]
+                u = v & mask[char]
+                total = v + u
+                over = total < u
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                free[w, :n] = total | (v ^ u)
+                carry = over.astype(np.uint64) if w + 1 < len(masks) else None
+        ends = [min(64, size - 64 * w) for w in range(len(masks))]
+        used = np.array([(1 << e) - 1 for e in ends], np.uint64)[:, None]
+        return size - np.bitwise_count(free & used).sum(axis=0, dtype=np.int64)
+
+    def best(self, name: str, found: tuple[float, int] | None = None) -> tuple[float, int] | None:
+        """(similarity, pri) of the most similar name, the smallest pri among equals; None below the floor. `found` is the
+        best of other names."""
         size = len(name)
-        if not size or not self.names:
-            return None
-        share = self.floor / (2 - self.floor)  # of the longer text, that the shorter must have
+        if not size or not len(self.pri):
+            return found
+        least = max(self.floor, found[0] if found else 0.0)
+        share = least / (2 - least)  # of the longer text, that the shorter must have
         lo, hi = np.searchsorted(self.sizes, [size * share - 1e-9, size / share + 1e-9 if share else np.inf])
-        own = _classes([name])[0].astype(self.classes.dtype if self.classes.dtype.itemsize > 1 else np.uint32)
-        both = np.minimum(self.classes[lo:hi], own).sum(axis=1, dtype=np.int64)
-        bound = 2 * both / (self.sizes[lo:hi] + size)
-        order = np.flatnonzero(bound >= self.floor - 1e-9)
-        order = order[np.argsort(-bound[order], kind="stable")]
-        masks, found = _masks(name), None
-        for k in order.tolist():
-            if found and bound[k] < found[0] - 1e-9:
-                break
-            other = self.names[lo + k]
-            total = size + len(other)
-            sim = (1.0 - (total - 2 * _lcs(masks, size, other)) / total) * 100 / 100
-            if sim >= self.floor and (not found or (sim, -self.pri[lo + k]) > (found[0], -found[1])):
-                found = sim, self.pri[lo + k]
+        bound = self._bounds(name, lo, hi)
+        masks, above = self._masks(name), np.inf
+        for step in range(20, -1, -1):  # bounds of 0.95 and more first, then those of 0.9 and more
+            edge = max(self.floor, (step - 1) / 20)
+            near = np.flatnonzero((bound < above) & (bound >= max(edge, found[0] if found else 0.0) - 1e-9))[::-1] + lo
+            for i in range(0, len(near), PAIRS_A_SCAN):
+                part = near[i:i + PAIRS_A_SCAN]
+                total = self.sizes[part] + size
+                sim = (1.0 - (total - 2 * self._lcs(masks, size, part)) / total) * 100 / 100
+                top = sim.max()
+                if top >= self.floor and (not found or top >= found[0]):
+                    pri = int(self.pri[part[sim == top]].min())
+                    found = max((float(top), pri), found or (0.0, 0), key=lambda x: (x[0], -x[1]))
+            above = edge - 1e-9
+            if edge <= self.floor or found and found[0] >= edge:
+                return found
         return found
 
 
@@ -198,32 +245,35 @@ def most_similar(names: DataFrame, catalog: DataFrame, floor: float = rules.FUZZ
     spark = names.sparkSession
     listed = written(
         catalog.select("pri", token_sort(C("name")).alias("tokens")).where("tokens <> ''").groupBy("tokens").agg(F.min("pri").alias("pri")), "similar-catalog")
-    blocks = max(1, -(-listed.count() // block))
-    asked = names.select("name", token_sort(C("name")).alias("tokens")).where("tokens <> ''").distinct()
-    if blocks > 1:
-        asked = written(asked, "similar-names")
-    found = []
+    asked = written(names.select("name", token_sort(C("name")).alias("tokens")).where("tokens <> ''").distinct(), "similar-names")
+    # names of the same words need no search
+    equal = asked.join(listed, "tokens").select("name", "pri", F.lit(1.0).alias("sim"))
+    rows = asked.join(listed, "tokens", "left_anti").select("name", "tokens", F.lit(None).cast("bigint").alias("pri"), F.lit(None).cast("double").alias("sim"))
+    rows = written(rows, "similar-open")
+    size, open_ = listed.count(), rows.count()
+    if not size or not open_:
+        return equal
+    blocks = -(-size // block)
+    tasks = max(-(-open_ * min(size, block) // PAIRS_A_TASK), min(spark.sparkContext.defaultParallelism, -(-open_ // 64)))
+    # a name is a few bytes and up to a second's work, so its bytes are no measure
+    rows = rows.repartition(tasks)
     for b in range(blocks):
         part = listed.where(F.pmod(F.xxhash64("tokens"), F.lit(blocks)) == b)
-        held = spark.sparkContext.broadcast(tuple((r["tokens"], r["pri"]) for r in part.toLocalIterator()))
+        held = spark.sparkContext.broadcast(tuple((r["tokens"], r["pri"]) for r in part.collect()))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 index = _index(held.value, floor)
-                best = [index.best(t) for t in batch.column(1).to_pylist()]
-                keep = [i for i, x in enumerate(best) if x]
+                before = zip(*(c.to_pylist() for c in batch.columns[1:]))
+                best = [index.best(tokens, None if pri is None else (sim, pri)) for tokens, pri, sim in before]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(keep, pa.int64())), pa.array([best[i][1] for i in keep], pa.int64()), pa.array([best[i][0] for i in keep], pa.float64())],
-                    ["name", "pri", "sim"])
-
-        rows = asked.mapInArrow(run, "name string, pri bigint, sim double")
-        found.append(written(rows, "similar-block") if blocks > 1 else rows)
-    if blocks == 1:
-        return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    return every.groupBy("name").agg(F.max(F.struct("sim", (-C("pri")).alias("low"))).alias("b")).select("name", (-C("b.low")).alias("pri"), C("b.sim").alias("sim"))
+                    [batch.column(0), batch.column(1), pa.array([x and x[1] for x in best], pa.int64()), pa.array([x and x[0] for x in best], pa.float64())],
+                    ["name", "tokens", "pri", "sim"])
+
+        rows = rows.mapInArrow(run, "name string, tokens string, pri bigint, sim double")
+        if b + 1 < blocks:
+            rows = written(rows, "similar-block").repartition(tasks)  # one block at a time
+    return equal.union(rows.where("pri is not null").select("name", "pri", "sim"))
 
 
 # ---------------------------------------------------------------------------------------- the join

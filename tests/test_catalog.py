@@ -77,3 +77,23 @@ def test_plan_has_no_names(spark):
     catalog = spark.createDataFrame([(p, n) for p, n in CATALOG], "pri long, name string")
     plan = ct.most_similar(spark.createDataFrame([("a",)], "name string"), catalog)._jdf.queryExecution().toString()
     assert "levenshtein" not in plan and CATALOG[5][1] not in plan
+
+
+def test_similar_names_are_dealt_over_tasks(spark, monkeypatch):
+    """Names of few bytes end in one partition by size, however long each search takes; a later block keeps the best of an earlier one."""
+    monkeypatch.setattr(ct, "PAIRS_A_TASK", 1000)
+    names = spark.createDataFrame([(f"{n} {i}",) for i, (_, n) in enumerate(CATALOG) if n and n.strip()], "name string")
+    catalog = spark.createDataFrame([(p, n) for p, n in CATALOG], "pri long, name string")
+    found = ct.most_similar(names, catalog, 0.7).select("*", F.spark_partition_id().alias("task")).collect()
+    assert len({r["task"] for r in found}) > 4
+    assert {r["name"]: (r["pri"], round(r["sim"], 9)) for r in found} == {n: b for (n,) in names.collect() if (b := brute_similar(n, 0.7))}
+
+
+def test_name_index_of_long_and_wide_texts():
+    """Names beyond one 64-bit word and beyond the bits of the bitmap, with characters outside the BMP."""
+    rnd = random.Random(8)
+    names = sorted({"".join(rnd.choice("abcé𝔘") for _ in range(rnd.choice([5, 63, 64, 65, 130, 400]))) for _ in range(40)})
+    index = ct.NameIndex([(n, i) for i, n in enumerate(names)], 0.5)
+    for asked in [names[3], *(n[1:-1] + "x" for n in names)]:
+        score = lambda n: (1.0 - (len(n) + len(asked) - 2 * lcs(n, asked)) / (len(n) + len(asked))) * 100 / 100
+        assert index.best(asked) == max(((score(n), i) for i, n in enumerate(names)), key=lambda x: (x[0], -x[1]))
