@@ -1119,7 +1119,9 @@ def three_way_diff(spark, sf_dir):
 def _part_stream(spark, sf_dir) -> DataFrame:
     """The part table as a stream of feed rows."""
     schema = spark.read.parquet(f"{sf_dir}/part.parquet").schema
-    part = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(sf_dir)
+    part = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(sf_dir).select("p_partkey", "p_name", "p_size")
+    # a stream cannot be counted before it runs
+    part = part.repartition(4 * spark.sparkContext.defaultParallelism)
     columns = sample_feed.feed_columns(C("p_partkey"), C("p_name"), C("p_size"))
     return part.select((C("p_partkey") + 1).alias("row_id"), *[v.alias(c) for c, v in columns.items()])
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuforge.operators.catalog import CatalogTables
+from skuforge.operators.stages import spread
 
 C = F.col
 SYLLABLES = ["ba", "ce", "di", "fo", "gu", "ka", "le", "mi", "no", "pu"]
@@ -57,7 +58,7 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id and the six required feed columns, one row per part."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name"))
     rows = part.join(makers(spark, sf_dir), (C("p_partkey") * 11) % 100 == C("pri"))
     k = C("p_partkey")
     supplier = F.when(k % 50 == 9, "").when(k % 19 == 3, F.concat(F.lit("Depot "), "stem")).otherwise(changed("manufacturer", "p_partkey"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skuforge.operators.stages import spread
+
 C = F.col
 
 # p = part name, n = part size
@@ -92,7 +94,7 @@ def feed_columns(k: Column, name: Column, size: Column) -> dict[str, Column]:
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One feed row per part."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size"))
     columns = feed_columns(C("p_partkey"), C("p_name"), C("p_size"))
     return part.select((C("p_partkey") + 1).alias("row_id"), *[v.alias(c) for c, v in columns.items()])
 
