@@ -17,6 +17,8 @@ from skuforge.plans.results import written
 C = F.col
 RANGE_ROWS = 20_000
 RANGES = 10_000
+#: Range folders that a task writes.
+FOLDERS_A_TASK = 16
 DECISION = "struct<action:string,comment:string,at:timestamp>"
 
 
@@ -39,21 +41,28 @@ class RangedResults:
         spark.range(1).select(F.lit(width).alias("width")).write.parquet(f"{path}/width")
         ranged = results.withColumn("id_range", F.expr(f"row_id div {width}"))
         ranged.limit(0).write.parquet(f"{path}/columns")
-        ranged.repartition("id_range").sortWithinPartitions("id_range", "row_id").write.partitionBy("id_range").parquet(f"{path}/rows")
+        _dealt(ranged, top // width + 1).write.partitionBy("id_range").parquet(f"{path}/rows")
         out = cls(spark, path)
-        out._count(out.rows()).write.partitionBy("id_range").parquet(f"{path}/index")
+        out._count(out.rows()).withColumn("version", F.lit(0)).write.parquet(f"{path}/index")
         return out
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
 
     def index(self) -> DataFrame:
-        """id_range, status, n."""
-        return self.spark.read.schema("status string, n bigint, id_range bigint").parquet(f"{self.path}/index")
+        """id_range, status, n: the latest version."""
+        every = self._versions()
+        return every.where(C("version") == self._version()).drop("version")
+
+    def _versions(self) -> DataFrame:
+        return self.spark.read.schema("id_range bigint, status string, n bigint, version int").parquet(f"{self.path}/index")
+
+    def _version(self) -> int | None:
+        return self._versions().agg(F.max("version")).first()[0]
 
     @staticmethod
     def _count(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("id_range", "status").agg(F.count("*").alias("n")).repartition("id_range")
+        return rows.groupBy("id_range", "status").agg(F.count("*").alias("n")).repartition(1)
 
     def _counts(self, status: str) -> DataFrame:
         """Ranges with the rows of a status and the rows before them; at most RANGES rows."""
@@ -61,8 +70,16 @@ class RangedResults:
         own = own.groupBy("id_range").agg(F.sum("n").alias("n"))
         return own.withColumn("before", F.sum("n").over(Window.orderBy("id_range")) - C("n"))
 
+    def _folders(self, ranges: list[int]) -> DataFrame:
+        """The rows of some ranges; no other folder is listed."""
+        ranges = [r for r in ranges if r is not None]  # rows without an id are on no page
+        if not ranges:
+            return self.rows().where("false")
+        read = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/rows")
+        return read.parquet(*[f"{self.path}/rows/id_range={r}" for r in ranges]).where(C("id_range").isin(ranges))
+
     def _of(self, ranges: list[int], status: str) -> DataFrame:
-        rows = self.rows().where(C("id_range").isin(ranges))
+        rows = self._folders(ranges)
         return (rows if status in ("", "all") else rows.where(C("status") == status)).drop("id_range")
 
     def page(self, page: int = 1, page_size: int = 50, status: str = "all") -> DataFrame:
@@ -98,14 +115,17 @@ class RangedResults:
         asked = [r[0] for r in new.select(F.expr(f"row_id div {self.width}").alias("r")).distinct().join(self.index().select(C("id_range").alias("r")).distinct(), "r", "left_semi").collect()]
         if not asked:
             return []
-        rows = self.rows().where(C("id_range").isin(asked))
+        rows = self._folders(asked)
         had = rows.where(C("decision").isNotNull()).select("row_id", "decision.*")
         merged = written(apply_decisions(rows.drop("decision"), new.unionByName(had)).withColumn("decision", C("decision").cast(DECISION)), "merged-ranges")
-        self._replace(merged.select(*self.rows().columns).repartition("id_range").sortWithinPartitions("id_range", "row_id"), "rows")
-        self._replace(self._count(merged), "index")
+        dealt = _dealt(merged.select(*self.schema.names), len(asked))
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("id_range").parquet(f"{self.path}/rows")
+        # one small file for each version: a file for each range costs more than its rows
+        index = self.index().where(~C("id_range").isin(asked)).unionByName(self._count(merged))
+        index.withColumn("version", F.lit(self._version() + 1)).repartition(1).write.mode("append").parquet(f"{self.path}/index")
         return sorted(asked)
 
-    def _replace(self, frame: DataFrame, what: str) -> None:
-        frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("id_range").parquet(f"{self.path}/{what}")
-
 
+def _dealt(rows: DataFrame, ranges: int) -> DataFrame:
+    """Rows with whole ranges in a task, FOLDERS_A_TASK of them: a folder costs a task more than the bytes in it."""
+    return rows.repartition(max(1, -(-ranges // FOLDERS_A_TASK)), "id_range").sortWithinPartitions("id_range", "row_id")

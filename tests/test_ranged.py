@@ -75,3 +75,16 @@ def test_merge_writes_only_touched_ranges(spark, plain, store):
 def test_empty_results(spark, plain):
     store = RangedResults.write(plain.where("false"), f"{shared_folder(spark)}/ranged-{uuid.uuid4().hex}")
     assert ids(store.page(1)) == [] and ids(store.after(0)) == [] and store.info().first()["total"] == 0
+
+
+def test_folders_are_dealt_over_tasks_and_the_index_is_one_file(spark, plain):
+    """A range folder each 10 ids: many tasks write them, and the index needs no folder for each range."""
+    store = RangedResults.write(plain, f"{shared_folder(spark)}/ranged-{uuid.uuid4().hex}", 10)
+    root = store.path.removeprefix("file://")
+    ranges = {d.split("id_range=")[1] for d in os.listdir(f"{root}/rows") if d.startswith("id_range=")}
+    writers = {f.split("part-")[1].split("-")[0] for d, _, names in os.walk(f"{root}/rows") for f in names if f.endswith(".parquet")}
+    assert len(ranges) > 70 and len(writers) > 8
+    assert store.merge(decisions(spark, [(3, "approve", "a", "2026-01-02"), (1203, "reject", "r", "2026-01-01")])) == [0, 120]
+    assert len([f for _, _, names in os.walk(f"{root}/index") for f in names if f.endswith(".parquet")]) == 2
+    assert store.info().collect() == serve.page_info(plain).collect()
+    assert ids(store.after(390, 20)) == ids(plain.where("row_id > 390").orderBy("row_id").limit(20))
