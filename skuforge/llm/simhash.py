@@ -42,7 +42,11 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
         return 0
     grams = [b" ".join(w)] if len(w) < size else map(b" ".join, zip(*[w[i:] for i in range(size)]))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, SEED) for g in grams], "<u8")
+    return majority(np.array([digest(g, SEED) for g in grams], "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed number; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[i:i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
