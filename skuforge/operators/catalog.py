@@ -3,8 +3,9 @@
 `operators.resolve` turns a short fixed catalog into expressions of the plan. Here catalog, aliases and
 distributors are data:
 
-* Part texts go through one multi-pattern automaton (Aho-Corasick) that reports the best-ranked keyword. Automata
-  are built from blocks of bounded size; a larger keyword table takes further passes, not more memory.
+* Part texts go through one multi-pattern automaton (Aho-Corasick) that reports the best-ranked keyword, if the keywords fit one of
+  bounded size. A larger keyword table is joined: the pieces of a text that have the size and a hash bit of some keyword are
+  its candidates, found in one pass whatever the number of keywords, and the join keeps those that are keywords.
 * Everything that depends on the supplier name alone is worked out once for each distinct name: distributor
   rules, exact match, and the most similar manufacturer among those that are still open.
 * The most similar manufacturer is an exact search. Names of the same words are found by a join. For the others names shorter or
@@ -17,7 +18,7 @@ The verdicts are joined back by name; Spark decides by size whether that needs a
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -36,6 +37,10 @@ C = F.col
 UNKNOWN = ("Unknown Manufacturer", "Unknown Brand")
 #: Characters of the keywords of one automaton.
 AUTOMATON_CHARS = 1 << 20
+#: Bits, as a power of two, of the largest bitmap of keyword hashes; beyond a sixteenth as many keywords more candidates are joined, none is missed.
+SLOT_BITS = 28
+#: Characters of texts that are hashed at once.
+SCAN_CHARS = 1 << 19
 #: Catalog names that a similarity pass broadcasts.
 NAMES_BLOCK = 1 << 15
 #: 64-bit words of the bitmap of a name's characters: characters that share a bit can only raise the bound.
@@ -78,24 +83,107 @@ def _automaton(words: tuple[tuple[str, int], ...]):
     return out
 
 
-def _matched(rows: DataFrame, column: str, keywords: DataFrame, start: Column, kind: str, hits, add, block_chars: int) -> DataFrame:
-    """rows with start grown by what the keywords (word, pri) of one block after the other hit in the column."""
+def _matched(rows: DataFrame, column: str, keywords: DataFrame, start: Column, kind: str, hits, merge, add, block_chars: int) -> DataFrame:
+    """rows with start grown by what the keywords (word, pri) hit in the column."""
     spark = rows.sparkSession
     words = written(keywords.where("word <> ''").groupBy("word").agg(F.min("pri").alias("pri")), "keywords")
     size = words.agg(F.sum(F.length("word"))).first()[0] or 0
-    blocks = -(-size // block_chars)
     rows = rows.withColumn(_HITS, start)
-    for block in range(blocks):
-        own = words.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == block)
-        pairs = spark.sparkContext.broadcast(tuple((r["word"], r["pri"]) for r in own.sort("word").toLocalIterator()))
+    if not size:
+        return rows
+    if size <= block_chars:
+        pairs = spark.sparkContext.broadcast(tuple((r["word"], r["pri"]) for r in words.sort("word").toLocalIterator()))
+        return rows.withColumn(_HITS, add(F.col(_HITS), _finder(pairs, kind, hits)(column)))
+    rows = written(rows.withColumn(_ROW, F.monotonically_increasing_id()), "keyword-rows")
+    found = _candidates(rows.select(_ROW, column), words).join(words, "word").groupBy(_ROW).agg(merge("pri").alias(_NEW))
+    return rows.join(found, _ROW, "left").withColumn(_HITS, add(F.col(_HITS), F.col(_NEW))).drop(_ROW, _NEW)
+
+
+def _prints(codes: np.ndarray) -> Callable[[np.ndarray, int | np.ndarray], np.ndarray]:
+    """Hashes of the pieces of a text (character numbers) by their places and sizes: polynomials modulo 2^64, then mixed."""
+    powers = np.full(len(codes) + 1, _BASE, np.uint64)
+    powers[0] = 1
+    back = np.full(len(codes) + 1, pow(int(_BASE), -1, 1 << 64), np.uint64)
+    back[0] = 1
+    np.cumprod(powers, out=powers)
+    np.cumprod(back, out=back)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
+
+    def of(at: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        h = (sums[at + size] - sums[at]) * back[at] + np.asarray(size).astype(np.uint64) * _MIX
+        for _ in range(2):
+            h = (h ^ (h >> np.uint64(32))) * _MIX
+        return h
+
+    return of
+
+
+def _word_slots(words: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of 2^bits bits, in 64-bit words, with the bit of every word's hash; merged by Spark."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            sizes = np.array([len(t) for t in texts], np.int64)
+            slot = _prints(_codes("".join(texts)))(np.cumsum(sizes) - sizes, sizes) >> np.uint64(64 - bits)
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64))], ["at", "mark"])
+
+    marks = words.select("word").mapInArrow(run, "at bigint, mark bigint").groupBy("at").agg(F.bit_or("mark").alias("mark")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[marks.column("at").to_numpy()] = marks.column("mark").to_numpy().view(np.uint64)
+    return out
 
-        find = _finder(pairs, kind, hits)
-        rows = rows.withColumn(_HITS, add(F.col(_HITS), find(column)))
-        if block + 1 < blocks:
-            rows = written(rows, "keyword-pass")  # one automaton at a time
-    return rows
 
+def _candidates(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(number, word) for rows (number, text): each distinct piece of a text that has the size and the bit of a word.
 
+    Pieces of all sizes that words have are hashed thousands of texts at once. A piece whose bit another word set is
+    left to the join with the words.
+    """
+    spark = texts.sparkSession
+    sizes = words.groupBy(F.length("word").alias("size")).count().sort("size").collect()
+    bits = min(SLOT_BITS, max(10, (16 * sum(r["count"] for r in sizes) - 1).bit_length()))
+    held = spark.sparkContext.broadcast((_word_slots(words, bits), [r["size"] for r in sizes]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, lengths = held.value
+        for batch in batches:
+            numbers, column = (c.to_pylist() for c in batch.columns)
+            for some in _bounded(column):
+                own, found = [column[i] for i in some], set()
+                ends = np.cumsum([len(t) for t in own])
+                owner = np.repeat(np.arange(len(own)), [len(t) for t in own])
+                room = ends[owner] - np.arange(len(owner))
+                prints = _prints(_codes("".join(own)))
+                for size in lengths:
+                    at = np.flatnonzero(room >= size)
+                    slot = prints(at, size) >> np.uint64(64 - bits)
+                    at = at[(slots[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1]
+                    for who, left in zip(owner[at].tolist(), room[at].tolist()):
+                        place = len(own[who]) - left
+                        found.add((some[who], own[who][place:place + size]))
+                rows = sorted(found)
+                yield pa.RecordBatch.from_arrays([pa.array([numbers[i] for i, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.string())], [_ROW, "word"])
+
+    return texts.mapInArrow(run, f"`{_ROW}` bigint, word string")
+
+
+def _bounded(texts: list[str | None]) -> Iterator[list[int]]:
+    """Places of the texts that are not empty, in runs of about SCAN_CHARS characters."""
+    run, chars = [], 0
+    for i, t in enumerate(texts):
+        if t:
+            run.append(i)
+            chars += len(t)
+            if chars >= SCAN_CHARS:
+                yield run
+                run, chars = [], 0
+    if run:
+        yield run
+
+
+_ROW, _NEW = "row of this keyword pass", "new hits of this keyword pass"
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HITS = "keyword hits of this pass"
 
 
@@ -118,17 +206,17 @@ def _every(found) -> list[int]:
 def first_keyword(rows: DataFrame, column: str, keywords: DataFrame, out: str, block_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """rows with `out`, the smallest pri of all keywords (word, pri) that occur anywhere in the column; NULL without any.
 
-    Empty and NULL words never match. The keywords are read block_chars characters at a time.
+    Empty and NULL words never match. Keywords of up to block_chars characters are one automaton, more are joined.
     """
     null = F.lit(None).cast("bigint")
-    return _matched(rows, column, keywords, null, "bigint", _least, F.least, block_chars).withColumnRenamed(_HITS, out)
+    return _matched(rows, column, keywords, null, "bigint", _least, F.min, F.least, block_chars).withColumnRenamed(_HITS, out)
 
 
 def every_keyword(rows: DataFrame, column: str, keywords: DataFrame, out: str, block_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """The same with an array of the pri of all keywords that occur, ascending; empty without any."""
     none = F.array().cast("array<bigint>")
     add = lambda have, new: F.sort_array(F.array_union(have, F.coalesce(new, none)))
-    return _matched(rows, column, keywords, none, "array<bigint>", _every, add, block_chars).withColumnRenamed(_HITS, out)
+    return _matched(rows, column, keywords, none, "array<bigint>", _every, lambda pri: F.sort_array(F.collect_set(pri)), add, block_chars).withColumnRenamed(_HITS, out)
 
 
 # ------------------------------------------------------------------------------------------- names

@@ -97,3 +97,20 @@ def test_name_index_of_long_and_wide_texts():
     for asked in [names[3], *(n[1:-1] + "x" for n in names)]:
         score = lambda n: (1.0 - (len(n) + len(asked) - 2 * lcs(n, asked)) / (len(n) + len(asked))) * 100 / 100
         assert index.best(asked) == max(((score(n), i) for i, n in enumerate(names)), key=lambda x: (x[0], -x[1]))
+
+
+def test_many_keywords_take_one_pass(spark, monkeypatch):
+    """Keyword tables beyond one automaton: the rows are written once, not once for each block, and pieces of equal hash bits are told apart."""
+    passes, write = [], ct.written
+    monkeypatch.setattr(ct, "written", lambda df, name: passes.append(name) or write(df, name))
+    monkeypatch.setattr(ct, "SLOT_BITS", 10)
+    monkeypatch.setattr(ct, "SCAN_CHARS", 50)
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choice("abé𝔘 ") for _ in range(rnd.randrange(1, 9))) for _ in range(300)})
+    texts = ["".join(rnd.choice("abé𝔘 ") for _ in range(rnd.randrange(0, 30))) for _ in range(120)] + [None, "", "a"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "k int, t string")
+    table = spark.createDataFrame([(w, i // 2) for i, w in enumerate(words)], "word string, pri long")
+    hits = [sorted({i // 2 for i, w in enumerate(words) if t and w in t}) for t in texts * 2]
+    assert [r["o"] for r in ct.every_keyword(rows, "t", table, "o", 64).sort("k").collect()] == hits
+    assert [r["o"] for r in ct.first_keyword(rows, "t", table, "o", 64).sort("k").collect()] == [min(h, default=None) for h in hits]
+    assert passes == ["keywords", "keyword-rows"] * 2
