@@ -13,12 +13,14 @@ SHORT_SHARE of the paragraph's.
 
 Every paragraph that any template can confirm is scored: of a template with k n-grams, r of them asked
 for, any k - r + 1 are anchors, and a paragraph without an anchor has too few n-grams of every template.
-The rarest n-grams of the sample are taken. The model reaches the scan as a scalar subquery of fixed
+The rarest n-grams of the sample are taken. Their words are one pattern that a text, and then a paragraph or line, must have before its
+n-grams are worked out. The model reaches the scan as a scalar subquery of fixed
 size. The scan is one pass without a shuffle or join.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,11 +111,13 @@ def known(all_grams: Column, vocabulary: Column) -> Column:
 
 def margins(weights: Column, numbers: Column, scale: Column) -> Column:
     """Of each class the sum of the weights of the n-grams, and the bias in full."""
-    return F.transform(weights, lambda w: F.aggregate(F.slice(numbers, F.lit(2), F.size(numbers)), F.get(w, F.lit(0)), lambda s, g: s + scale * F.get(w, g)))
+    return let(numbers, lambda n: let(F.slice(n, F.lit(2), F.size(n)), lambda rest: F.transform(
+        weights, lambda w: F.aggregate(rest, F.get(w, F.lit(0)), lambda s, g: s + scale * F.get(w, g)))))
 
 
 def softmax(v: Column) -> Column:
-    return let(F.transform(v, lambda x: F.exp(x - F.array_max(v))), lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda t: F.transform(e, lambda x: x / t)))
+    powers = let(v, lambda u: let(F.array_max(u), lambda top: F.transform(u, lambda x: F.exp(x - top))))
+    return let(powers, lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def marked(paragraph: Column) -> Column:
@@ -181,6 +185,25 @@ def model(docs: DataFrame, negatives: int = NEGATIVES, rounds: int = ROUNDS) ->
     return written(one.select(F.struct("vocabulary", "weights", F.greatest(F.lit(FLOOR), F.array_max(seen)).alias("threshold"), "templates", "anchors").alias("model")), "licence-model")
 
 
+def anchor_pattern(fitted: DataFrame) -> str:
+    """Pattern that lowered text with an anchor has: the word, or both words with anything but letters and digits between them and,
+    before the second at the start of a line, a comment mark that paragraphs leave out."""
+    forms = (re.findall("[a-z0-9]+", t.lower()) for family in (*TEMPLATES.values(), *SHORT_FORMS.values()) for t in family)
+    named = sorted({(a, b) for w in forms for a, b in zip([*w, *w], [*([""] * len(w)), *w[1:]])})
+    own = F.when(F.col("b") == "", F.xxhash64("a")).otherwise(F.xxhash64("a", "b"))
+    rows = fitted.sparkSession.createDataFrame(named, "a string, b string").join(fitted.select(F.explode("model.anchors").alias("g")), own == F.col("g"), "left_semi").collect()
+    after: dict[str, set[str]] = {}
+    for r in rows:
+        after.setdefault(r["a"], set()).add(r["b"])
+    gap = r"[^\p{L}\p{N}]+"
+    by_start: dict[str, list[str]] = {}
+    for a, seconds in sorted(after.items()):
+        by_start.setdefault(a[0], []).append(a[1:] + ("" if "" in seconds else f"{gap}(?:(?:rem|dnl){gap})?(?:{'|'.join(sorted(seconds))})"))
+    if not by_start:
+        return "(?!)"
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_start.items()) + r")(?![\p{L}\p{N}])"
+
+
 def judge(paragraph: Column, m: Column) -> Column:
     """struct(family, probability, match): the family, or unknown."""
     k = len(CLASSES)
@@ -204,9 +227,11 @@ def scan(docs: DataFrame, fitted: DataFrame) -> DataFrame:
 
     Null and empty texts have none.
     """
+    pattern = anchor_pattern(fitted)
+    held = F.when(F.lower("text").rlike(pattern), F.col("text")).otherwise(F.lit(""))
     # marks of other characters than letters and digits are no words, so they need no stripping
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.when(t.rlike(r"[\p{L}\p{N}]"), F.regexp_replace(t, r"^\s*(?:(?i:rem|dnl)\s)?", "")).otherwise(F.lit("")))
-    anchored = lambda s: F.arrays_overlap(grams(s["text"]), F.col("_anchors"))
+    lines = F.transform(F.split(held, "\n"), lambda t: F.when(t.rlike(r"[\p{L}\p{N}]"), F.regexp_replace(t, r"^\s*(?:(?i:rem|dnl)\s)?", "")).otherwise(F.lit("")))
+    anchored = lambda s: F.lower(s["text"]).rlike(pattern) & F.arrays_overlap(grams(s["text"]), F.col("_anchors"))
     own = lambda s: F.filter(F.transform(F.slice(F.col("_lines"), s["line"] + 1, F.when(s["n"] > 1, s["n"]).otherwise(0)), lambda t, i: F.struct(
         (s["line"] + i).alias("line"), F.lit(0).alias("n"), t.alias("text"))), anchored)
     judged = F.transform("_candidates", lambda s: let(judge(s["text"], F.col("_model")), lambda j: F.struct(
