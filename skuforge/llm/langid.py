@@ -34,8 +34,10 @@ PENALTY = 24.0
 OUTSIDE = -40.0  # a word in a script that the language does not use
 SCRIPT_SHARE = 0.01
 # word characters of Unicode that are numbers but no decimal digits, such as fractions and Roman numerals
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c) in ("Nl", "No"))
-LETTERS = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
+NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and unicodedata.category(c) in ("Nl", "No"))
+# these numbers, and all characters beyond the basic plane: a class of many of the latter is tried member by member
+PERHAPS = re.compile(f"[{''.join(sorted(c for c in NUMBERS if c <= '\uffff'))}\U00010000-\U0010ffff]")
+RUNS = re.compile(r"[^\W\d_]+")
 UND = "und"
 
 # First code point of each script range, in order; "other" fills the gaps.
@@ -54,6 +56,11 @@ _STARTS = np.array([a for a, _ in SCRIPTS], np.uint32)
 _IDS = np.array([_NAMES.index(s) for _, s in SCRIPTS])
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters; numbers end a run."""
+    return RUNS.findall(text if text.isascii() else PERHAPS.sub(lambda m: " " if m[0] in NUMBERS else m[0], text))
+
+
 def grams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of words: bucket and word number of each 1-, 2- and 3-gram (with the word's ends), scripts."""
     c = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -105,7 +112,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, buckets: int = BUCKET
         for batch in batches:
             by_lang: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
-                by_lang.setdefault(lang, []).extend(LETTERS.findall(text.decode().lower()))
+                by_lang.setdefault(lang, []).extend(letter_runs(text.decode().lower()))
             out: list[list] = [[], [], []]
             for lang, words in by_lang.items():
                 if words:
@@ -149,7 +156,7 @@ SCHEMA = "lang string, score double, spans array<struct<lang:string,begin:int,en
 
 def predict_batch(model: Model, texts: list[str | None], penalty: float = PENALTY) -> list[tuple]:
     """(language, share of the letters in it, spans in words) of each text."""
-    found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+    found = [letter_runs(t.lower()) if t else [] for t in texts]
     number: dict[str, int] = {}
     ids = [[number.setdefault(w, len(number)) for w in ws] for ws in found]
     if not number or not model.langs:
