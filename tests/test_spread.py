@@ -29,3 +29,14 @@ def test_a_part_stream_is_many_tasks(spark, tmp_path):
     stream = cq._part_stream(spark, folder).select("row_id", F.spark_partition_id().alias("task"))
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(out).agg(F.count_distinct("row_id"), F.count_distinct("task") > 4).first()[:] == (2_000, True)
+
+
+def test_scored_pairs_are_dealt_by_rows(spark, monkeypatch):
+    fields = ("manufacturer_name", "brand_name", "invoice_desc", "mobile_desc", "short_desc")
+    rows = spark.range(25_000).select(F.col("id").alias("row_id"), F.struct(*[F.lit(f).alias(f) for f in fields]).alias("enriched"))
+    labels = spark.range(25_000).select((F.col("id") * 10).alias("truth_id"), *[F.lit("x").alias(c) for c in ("MANUFACTURER_NAME", "BRAND_NAME", "SHORT_DESC")])
+    monkeypatch.setattr(cq, "results", lambda *_: rows)
+    monkeypatch.setattr(cq, "truth", lambda *_: labels)
+    found = cq.scored_pairs(spark, "").groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("rows"), F.sum("row_index").alias("ids")).collect()
+    assert len(found) == 3 and max(r["rows"] for r in found) < 1.1 * stages.ROWS_A_TASK
+    assert (sum(r["rows"] for r in found), sum(r["ids"] for r in found)) == (25_000, sum(range(25_000)))
